@@ -20,7 +20,7 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialise
+from .util import materialise, prefix_sums
 
 LEVELS = ["domain", "lang", "source"]
 
@@ -137,22 +137,9 @@ def mix_sources(
         F.expr("case when tokens > 0 then quota % tokens else 0L end").alias("left"),
     )
     order = F.md5(F.concat_ws(":", F.lit(seed), "whole", "id"))
-    placed = rows.join(leaves, LEVELS).withColumn("place", order).withColumns(
-        {"b2": F.substring("place", 1, 2), "b4": F.substring("place", 1, 4)}
-    )
-    b4 = placed.groupBy(*LEVELS, "b2", "b4").agg(F.sum("tokens").alias("n"))
-    b2 = b4.groupBy(*LEVELS, "b2").agg(F.sum("n").alias("n"))
-    at2 = Window.partitionBy(*LEVELS).orderBy("b2").rowsBetween(Window.unboundedPreceding, -1)
-    at4 = Window.partitionBy(*LEVELS, "b2").orderBy("b4").rowsBetween(Window.unboundedPreceding, -1)
-    b2 = b2.select(*LEVELS, "b2", F.coalesce(F.sum("n").over(at2), F.lit(0)).alias("before2"))
-    b4 = b4.select(*LEVELS, "b2", "b4", F.coalesce(F.sum("n").over(at4), F.lit(0)).alias("before4"))
-    starts = b4.join(b2, [*LEVELS, "b2"]).select(*LEVELS, "b4", (F.col("before2") + F.col("before4")).alias("before"))
-    inside = Window.partitionBy(*LEVELS, "b4").orderBy("place", "id", "tokens").rowsBetween(Window.unboundedPreceding, 0)
+    placed = prefix_sums(rows.join(leaves, LEVELS).withColumn("place", order), LEVELS, "place", "tokens", ["id", "tokens"])
     return (
-        placed.drop("b2")
-        .withColumn("upto", F.sum("tokens").over(inside))
-        .join(starts, [*LEVELS, "b4"])
-        .withColumn("times", F.col("whole") + (F.col("before") + F.col("upto") <= F.col("left")).cast("long"))
+        placed.withColumn("times", F.col("whole") + (F.col("upto") <= F.col("left")).cast("long"))
         .where("times > 0 and whole + left > 0")
         .select(F.col("id").alias(id_col), *LEVELS, "tokens", "times")
     )

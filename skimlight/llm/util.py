@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Used only where the session names no shared folder (tests, one machine).
@@ -61,3 +61,37 @@ def fold_of(column: str | Column, n: int) -> Column:
     """crc32 of the value as text, modulo ``n`` (null: null)."""
     c = F.col(column) if isinstance(column, str) else column
     return F.crc32(c.cast("string")) % n
+
+
+def prefix_sums(rows: DataFrame, group: list[str], place: str, value: str, ties: list[str]) -> DataFrame:
+    """Adds ``upto``: the sum of ``value`` over the group's rows up to this one, in the order of ``place``.
+
+    ``place`` is an MD5 in hex. Sums are taken over 256 buckets of a group by its first
+    two digits, over 256 smaller ones in each, and then over the rows of a small one, so
+    that a group with a third of all rows is never sorted in one task.
+    """
+    rows = rows.withColumns({"_b2": F.substring(place, 1, 2), "_b4": F.substring(place, 1, 4)})
+    b4 = rows.groupBy(*group, "_b2", "_b4").agg(F.sum(value).alias("_n"))
+    b2 = b4.groupBy(*group, "_b2").agg(F.sum("_n").alias("_n"))
+    prior = (Window.unboundedPreceding, -1)
+    at2 = Window.partitionBy(*group).orderBy("_b2").rowsBetween(*prior)
+    at4 = Window.partitionBy(*group, "_b2").orderBy("_b4").rowsBetween(*prior)
+    b2 = b2.select(*group, "_b2", F.coalesce(F.sum("_n").over(at2), F.lit(0)).alias("_before2"))
+    b4 = b4.select(*group, "_b2", "_b4", F.coalesce(F.sum("_n").over(at4), F.lit(0)).alias("_before4"))
+    starts = b4.join(b2, [*group, "_b2"]).select(*group, "_b4", (F.col("_before2") + F.col("_before4")).alias("_before"))
+    inside = Window.partitionBy(*group, "_b4").orderBy(place, *ties).rowsBetween(Window.unboundedPreceding, 0)
+    return (
+        rows.drop("_b2")
+        .withColumn("upto", F.sum(value).over(inside))
+        .join(starts, [*group, "_b4"])
+        .withColumn("upto", F.col("upto") + F.col("_before"))
+        .drop("_before", "_b4")
+    )
+
+
+def worker_state() -> dict:
+    """What a Python worker keeps from task to task (loaded models and caches)."""
+    import sys
+    import types
+
+    return sys.modules.setdefault("_skimlight_worker_state", types.ModuleType("_skimlight_worker_state")).__dict__
