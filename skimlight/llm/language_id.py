@@ -132,6 +132,7 @@ def identify_languages(
     folds: int = 4,
     held: int = 2,
     per_language: int = TRAINING_DOCS,
+    carry: bool = False,
 ) -> DataFrame:
     """One row per input row: ``id_col``, held_out, lang_pred, score, mixture (language -> proportion).
 
@@ -139,7 +140,8 @@ def identify_languages(
     not ``held``; prediction reads the whole text only. Score is the proportion of
     lang_pred. Texts that are null or have no letter, and all texts if nothing could be
     learned, are ``und`` with score 0. Null ids count as held out. Repeated rows are
-    judged each; an empty table gives an empty result; other columns are not read.
+    judged each; an empty table gives an empty result. With ``carry`` a column ``row`` holds
+    the whole input row; else other columns are not read.
     """
     model = fit(docs, id_col, text_col, lang_col, folds, held, per_language)
 
@@ -150,12 +152,18 @@ def identify_languages(
                 [
                     b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
                     pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64())),
+                    *([b.column(2)] if carry else []),
                 ],
-                names=["id", "lang_pred", "score", "mixture"],
+                names=["id", "lang_pred", "score", "mixture", *(["row"] if carry else [])],
             )
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    return rows.mapInArrow(run, f"id {kind}, lang_pred string, score double, mixture map<string, double>").select(
-        F.col("id").alias(id_col), F.coalesce(fold_of("id", folds) == held, F.lit(True)).alias("held_out"), "lang_pred", "score", "mixture"
-    )
+    whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *whole)
+    schema = f"id {kind}, lang_pred string, score double, mixture map<string, double>"
+    if carry:
+        schema += f", row {rows.schema['row'].dataType.simpleString()}"
+    return rows.mapInArrow(run, schema).select(
+        F.col("id").alias(id_col), F.coalesce(fold_of("id", folds) == held, F.lit(True)).alias("held_out"), "lang_pred", "score",
+        "mixture", *(["row"] if carry else []),
+    )

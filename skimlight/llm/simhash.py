@@ -7,6 +7,12 @@ fingerprints are joined: copies share one. A key that many fingerprints share
 through their variants with each of the remaining bits flipped, as two members
 within two bits of each other share a variant. Both ways find all links and no
 others; the second is linear in the members.
+
+``near_duplicates`` serves a similarity of shingle sets instead of a few bits. Sets
+that are 0.8 alike differ in about ten of 64 bits, which no split into blocks covers.
+There the shingles themselves are split: into sections by their hash, each with a
+SimHash of its own, so many that a close pair leaves some sections untouched. Equal
+section fingerprints are the blocks; a long fingerprint is then verified.
 """
 
 from __future__ import annotations
@@ -28,23 +34,35 @@ PAIRWISE = 64
 CHUNK = 1 << 15
 
 
-def fingerprint_bytes(text: bytes | None, words: int, seed: int) -> int:
-    """SimHash of the whole text; bits are set in over half the shingles' hashes."""
+def shingle_hashes(text: bytes | None, words: int, seed: int) -> np.ndarray:
+    """XXH64 of the shingles of the whole text, repeats included; of all words, if they are fewer."""
     parts = (text or b"").lower().split()  # both are ASCII only on bytes
-    if not parts:
-        return 0
     digest = xxhash.xxh64_intdigest
-    if len(parts) < words:
-        return digest(b" ".join(parts), seed)
     line = b" ".join(parts)
+    if len(parts) <= words:
+        return np.array([digest(line, seed)] if parts else [], "<u8")
     size = np.fromiter(map(len, parts), np.int64, len(parts))
     ends = np.cumsum(size + 1) - 1
     starts, ends = (ends - size)[: len(parts) - words + 1].tolist(), ends[words - 1 :].tolist()
-    ones = np.zeros(64, np.int64)
-    for i in range(0, len(starts), CHUNK):
-        h = np.array([digest(line[a:b], seed) for a, b in zip(starts[i : i + CHUNK], ends[i : i + CHUNK], strict=True)], "<u8")
-        ones += np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * ones > len(starts), bitorder="little").view("<u8")[0])
+    return np.array([digest(line[a:b], seed) for a, b in zip(starts, ends, strict=True)], "<u8")
+
+
+def majority(h: np.ndarray, starts: np.ndarray | None = None) -> np.ndarray:
+    """Fingerprint of all hashes, or of each run that begins at ``starts``: bits set in over half."""
+    if starts is None:
+        ones = np.zeros((1, 64), np.int64)
+        for i in range(0, len(h), CHUNK):
+            ones += np.unpackbits(h[i : i + CHUNK].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+        sizes = np.array([len(h)])
+    else:
+        bits = np.unpackbits(h.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").astype(np.int32)
+        ones, sizes = np.add.reduceat(bits, starts, axis=0), np.diff(np.append(starts, len(h)))
+    return np.packbits(2 * ones > sizes[:, None], axis=1, bitorder="little").view("<u8").ravel()
+
+
+def fingerprint_bytes(text: bytes | None, words: int, seed: int) -> int:
+    """SimHash of the whole text; zero if it has no words."""
+    return int(majority(shingle_hashes(text, words, seed))[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 5, seed: int = 42) -> DataFrame:
@@ -128,3 +146,108 @@ def simhash_groups(
     return rows.join(named, "fp").select(
         F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "group_size"
     )
+
+
+#: Bits of the long fingerprint, and how many sections of a pair at the threshold shall remain untouched.
+LONG_BITS, UNTOUCHED = 512, 5
+#: A set's sections are made for its size class and the next; pairs may differ by this factor in size.
+CLASS_RATIO = 1.25
+
+
+def mix64(x: np.ndarray, salt: int) -> np.ndarray:
+    """Another 64-bit hash of each value (the finaliser of SplitMix64)."""
+    with np.errstate(over="ignore"):
+        z = x + np.uint64((salt * 0x9E3779B97F4A7C15) & (2**64 - 1))
+        z = (z ^ (z >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        z = (z ^ (z >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+    return z ^ (z >> np.uint64(31))
+
+
+def section_count(size: float, similarity: float) -> int:
+    """Sections of a set of ``size`` shingles: UNTOUCHED of them hold none of the differences of a pair."""
+    different = max(1.0, 2 * size * (1 - similarity) / (1 + similarity))
+    m = UNTOUCHED + 1.0
+    while m * np.exp(-different / m) < UNTOUCHED:
+        m *= 1.05
+    return int(np.ceil(m))
+
+
+def section_keys(h: np.ndarray, similarity: float) -> np.ndarray:
+    """Keys (size class, section, SimHash of the section) of a set of distinct shingle hashes."""
+    base = int(np.floor(np.log(len(h)) / np.log(CLASS_RATIO) + 1e-9))
+    out = []
+    for level in (base, base + 1):
+        m = section_count(CLASS_RATIO**level, similarity)
+        part = mix64(h, level + 1) % np.uint64(m)
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        out.append(mix64(majority(h[order], starts), 1000 + level) ^ mix64(part[starts], 2000 + level))
+    return np.concatenate(out)
+
+
+def long_fingerprint(h: np.ndarray) -> np.ndarray:
+    return np.concatenate([majority(mix64(h, 3000 + i)) for i in range(LONG_BITS // 64)])
+
+
+def near_duplicates(
+    docs: DataFrame,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    words: int = 5,
+    similarity: float = 0.8,
+    seed: int = 42,
+) -> DataFrame:
+    """One row per input row: ``id_col``, component_id, group_size.
+
+    Documents are linked if the Jaccard similarity of their sets of word shingles is about
+    ``similarity`` or more, as the long fingerprint's Hamming distance tells. A linked
+    pair is met with probability 1 - exp(-UNTOUCHED) or more. Documents that share a
+    section are linked through one of them, drawn by hash for each section, so the pairs
+    compared grow with the documents and not with the square of a group.
+
+    component_id is the smallest identifier reachable. Texts without words, null among
+    them, are one group; fewer words than ``words`` are one shingle. Repeated rows are
+    rows of their own. An empty table gives an empty result; other columns are not read.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for lo in range(0, batch.num_rows, 500):
+                part = batch.slice(lo, 500)
+                fps, keys = [], []
+                for text in part.column(1).to_pylist():
+                    h = np.unique(shingle_hashes(text, words, seed))
+                    fps.append(long_fingerprint(h).view(np.int64))
+                    keys.append(section_keys(h, similarity).view(np.int64) if len(h) else np.zeros(0, np.int64))
+                longs = pa.list_(pa.int64())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, longs), pa.array(keys, longs)], names=["id", "fp", "keys"])
+
+    kind = docs.schema[id_col].dataType.simpleString()
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = rows.mapInArrow(run, f"id {kind}, fp array<long>, keys array<long>").withColumn("node", F.xxhash64("fp"))
+    rows = materialise(rows, "sections")
+    nodes = materialise(
+        rows.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.any_value("fp").alias("fp")), "nodes"
+    )
+    keyed = materialise(rows.select("node", F.explode("keys").alias("key")).distinct(), "keys")
+    centre = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("c"), F.count(F.lit(1)).alias("n"))
+    centre = centre.where("n > 1").select("key", F.col("c.node").alias("a"))
+    pairs = keyed.join(centre, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    pairs = materialise(pairs.distinct(), "pairs")
+    # the angle between two sets of a size at this Jaccard similarity, as a share of the bits
+    most = int(LONG_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + LONG_BITS // 64
+    distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    links = (
+        pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), "a")
+        .join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b")
+        .where(distance <= most)
+        .select("a", "b")
+    )
+    found = connected_components(links)
+    parts = materialise(
+        nodes.select("node", "low", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "parts"
+    )
+    lows = materialise(parts.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("group_size")), "lows")
+    named = materialise(parts.select("node", "component").join(lows, "component").drop("component"), "named")
+    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id", "group_size")
