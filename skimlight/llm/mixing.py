@@ -68,30 +68,25 @@ def share_out(children: DataFrame, parent: list[str], child: str) -> DataFrame:
     )
 
 
-def leaf_quotas(supply: DataFrame, budget: Column, weights: Mapping[str, Mapping[str, int]], other: Mapping[str, int], epochs: int) -> DataFrame:
+def leaf_quotas(
+    supply: DataFrame, budget: int, weights: Mapping[str, Mapping[str, int]], other: Mapping[str, int], epochs: int
+) -> DataFrame:
     """domain, lang, source, tokens, quota for the leaf table ``supply`` (domain, lang, source, tokens).
 
-    Weights of zero or less give no quota.
+    ``budget``: at most what the leaves hold in all epochs. Weights of zero or less give no quota.
     """
-    level = supply.select(*LEVELS, "tokens", (F.col("tokens") * epochs).alias("supply"))
+    leaves = supply.withColumn("supply", F.col("tokens") * epochs)
     for name in LEVELS:
-        level = level.where(weight_of(name, weights.get(name, {}), other.get(name, 1)) > 0)
-    nodes = level
-    top = level.agg(F.coalesce(F.sum("supply"), F.lit(0)).alias("total"))
-    quota = top.select(F.least(budget, F.col("total")).alias("budget"), F.lit(0).alias("root"))
-    path: list[str] = []
+        leaves = leaves.where(weight_of(name, weights.get(name, {}), other.get(name, 1)) > 0)
+    above, quota = [], None
     for name in LEVELS:
-        kids = (
-            nodes.groupBy(*path, name)
-            .agg(F.sum("supply").alias("supply"))
-            .withColumn("weight", weight_of(name, weights.get(name, {}), other.get(name, 1)))
-            .withColumn("root", F.lit(0))
-        )
-        kids = kids.join(quota, [*path] if path else ["root"]).withColumn("root", F.lit(0))
-        shared = share_out(kids.select("root", *path, name, "supply", "weight", "budget"), ["root", *path], name)
-        path = [*path, name]
-        quota = shared.select(*path, F.col("quota").alias("budget"))
-    return level.select(*LEVELS, "tokens").join(quota.withColumnRenamed("budget", "quota"), LEVELS)
+        kids = leaves.groupBy(*above, name).agg(F.sum("supply").alias("supply"))
+        kids = kids.withColumn("weight", weight_of(name, weights.get(name, {}), other.get(name, 1)))
+        kids = kids.withColumn("budget", F.lit(budget).cast("long")) if quota is None else kids.join(quota, above)
+        shared = share_out(kids, above, name)
+        above = [*above, name]
+        quota = shared.select(*above, F.col("quota").alias("budget"))
+    return leaves.select(*LEVELS, "tokens").join(quota.withColumnRenamed("budget", "quota"), LEVELS)
 
 
 def mix_sources(
@@ -99,7 +94,7 @@ def mix_sources(
     domain: Column,
     weights: Mapping[str, Mapping[str, int]],
     other: Mapping[str, int] | None = None,
-    budget_permille: int | None = 500,
+    budget_permille: int = 500,
     budget_tokens: int | None = None,
     epochs: int = 2,
     seed: int = 42,
@@ -126,17 +121,18 @@ def mix_sources(
         ),
         "tokens",
     )
-    supply = rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens"))
-    budget = F.lit(budget_tokens).cast("long")
-    if budget_tokens is None:
-        # of the supply of all epochs, so that the total in one epoch is total / epochs
-        budget = F.expr(f"(total div {epochs}) * {budget_permille} div 1000")
+    supply = materialise(rows.groupBy(*LEVELS).agg(F.sum("tokens").alias("tokens")), "supply")
+    usable = supply
+    for name in LEVELS:
+        usable = usable.where(weight_of(name, weights.get(name, {}), (other or {}).get(name, 1)) > 0)
+    total = usable.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("n")).first().n
+    budget = min(total * budget_permille // 1000 if budget_tokens is None else budget_tokens, total * epochs)
     leaves = leaf_quotas(supply, budget, weights, other or {}, epochs).select(
         *LEVELS,
         F.expr("case when tokens > 0 then quota div tokens else 0L end").alias("whole"),
         F.expr("case when tokens > 0 then quota % tokens else 0L end").alias("left"),
     )
-    order = F.md5(F.concat_ws(":", F.lit(seed), "whole", "id"))
+    order = F.md5(F.concat_ws(":", F.lit(seed), "whole", F.col("id").cast("string")))
     placed = prefix_sums(rows.join(leaves, LEVELS).withColumn("place", order), LEVELS, "place", "tokens", ["id", "tokens"])
     return (
         placed.withColumn("times", F.col("whole") + (F.col("upto") <= F.col("left")).cast("long"))
