@@ -62,10 +62,17 @@ class SearchRequest:
 
 @dataclass
 class SearchResult:
+    """A page of rows (docid, score and what was asked for), facet counts and the total; ``close`` frees the cached matches."""
+
     rows: DataFrame
     facets: DataFrame
     matches: int
     did_you_mean: str | None = None
+    scored: DataFrame | None = None
+
+    def close(self) -> None:
+        if self.scored is not None:
+            self.scored.unpersist()
 
 
 def default_function(functions: Mapping[int, Formula], number: int) -> Formula:
@@ -226,8 +233,7 @@ class SearchEngine:
         return parse(query, "text", self._analyze_query)
 
     def _match(self, node: Node) -> DataFrame:
-        postings = self.postings()
-        return match(postings, node, self.documents(), P.term_stats(postings))
+        return match(self.postings(), node, self.documents(), self.store.term_stats())
 
     def search(self, request: SearchRequest) -> SearchResult:
         if not self._waiting.acquire(blocking=False):
@@ -245,7 +251,7 @@ class SearchEngine:
         listed = R.promote(scored.select("docid", "score"), promoted, self.spark)
         matches = listed.count()
         page = R.top(listed, request.start, request.limit)
-        result = SearchResult(self._fetch(page, node, request), R.facet_counts(scored), matches)
+        result = SearchResult(self._fetch(page, node, request), R.facet_counts(scored), matches, scored=scored)
         if matches:
             for term in S.note_query(node):
                 self._query_terms[term] = self._query_terms.get(term, 0) + 1
@@ -294,7 +300,7 @@ class SearchEngine:
     # suggestions
 
     def popular_terms(self) -> DataFrame:
-        return P.popularity(P.term_stats(self.postings()))
+        return P.popularity(self.store.term_stats())
 
     def complete(self, partial: str, field: str = "text") -> list[str]:
         if self.suggest == "documents":

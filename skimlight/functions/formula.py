@@ -108,10 +108,12 @@ class _Columns:
         mask = F.call_function("shiftleft", F.lit(1), F.pmod(cls._int(i), F.lit(32)).cast("int"))
         return F.when(cls._int(v).bitwiseAND(mask) > 0, 1.0).otherwise(0.0)
 
-    @staticmethod
-    def distance(unit: float, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
-        outside = (F.abs(lat1) > 90) | (F.abs(lat2) > 90) | (F.abs(lon1) > 180) | (F.abs(lon2) > 180)
-        middle = ((lat1 + lat2).cast("int") / 2).cast("int")  # both towards zero; only read inside the range
+    @classmethod
+    def distance(cls, unit: float, lat1: Column, lon1: Column, lat2: Column, lon2: Column) -> Column:
+        outside = F.lit(False)
+        for x, most in ((lat1, 90), (lat2, 90), (lon1, 180), (lon2, 180)):
+            outside |= ~F.isnan(x) & (F.abs(x) > most)
+        middle = (cls._int(lat1 + lat2) / 2).cast("int")  # both steps towards zero
         wide = F.pow(F.cos(F.radians(middle.cast("double"))), F.lit(2.0))
         return F.when(outside, float("inf")).otherwise(unit * F.sqrt((lat1 - lat2) * (lat1 - lat2) + (lon1 - lon2) * (lon1 - lon2) * wide))
 
@@ -165,11 +167,11 @@ class _Floats:
         shift = cls._int(i) % 32
         return 1.0 if shift != 31 and cls._int(v) & (1 << shift) else 0.0
 
-    @staticmethod
-    def distance(unit: float, lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-        if max(abs(lat1), abs(lat2)) > 90 or max(abs(lon1), abs(lon2)) > 180:
+    @classmethod
+    def distance(cls, unit: float, lat1: float, lon1: float, lat2: float, lon2: float) -> float:
+        if any(abs(x) > most for x, most in ((lat1, 90), (lat2, 90), (lon1, 180), (lon2, 180))):
             return math.inf
-        middle = int(int(lat1 + lat2) / 2)
+        middle = int(cls._int(lat1 + lat2) / 2)
         return unit * math.sqrt((lat1 - lat2) ** 2 + (lon1 - lon2) ** 2 * math.cos(math.radians(middle)) ** 2)
 
     @staticmethod

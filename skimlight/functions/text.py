@@ -14,6 +14,7 @@ from collections.abc import Callable, Iterable, Mapping
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .stemmer import stem
 
@@ -98,7 +99,7 @@ def without_stop_words(stop: Iterable[str]) -> Filter:
     return lambda terms: F.filter(terms, lambda t: ~t["term"].isin(stop)) if stop else terms
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def _stems(terms: pd.Series) -> pd.Series:
     return terms.map(lambda ts: [stem(t) for t in ts])
 

@@ -15,6 +15,8 @@ from dataclasses import asdict, dataclass, field
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.postings import term_stats
+
 TABLES = {
     "documents": "docid string, fields map<string,string>",
     "dynamic": "docid string, ts int, vars array<float>, cats map<string,string>",
@@ -70,6 +72,9 @@ class Store:
             if table == "postings":
                 out = out.repartitionByRange("field", "term", "docid").sortWithinPartitions("field", "term", "docid")
             out.write.parquet(f"{self.root}/{name}/{table}")
+            if table == "postings":
+                stats = term_stats(self.spark.read.parquet(f"{self.root}/{name}/postings"))
+                stats.repartitionByRange("field", "term").sortWithinPartitions("field", "term").write.parquet(f"{self.root}/{name}/term_stats")
         for kind, ids in (("text", changed_text), ("dynamic", changed_dynamic)):
             if ids is not None:
                 ids.select("docid").write.parquet(f"{self.root}/{name}/changed_{kind}")
@@ -97,6 +102,15 @@ class Store:
             out = out.join(newest, "docid", "left").where("_newest is null or _v >= _newest")
         return out.select(*[c.split(" ")[0] for c in schema.split(", ")])
 
+    def term_stats(self) -> DataFrame:
+        """(field, term, df, cnt) over all folders. A replaced document counts until the base is rewritten."""
+        folders = [f for f in (self.manifest.base, *self.manifest.deltas) if f and self._fs.exists(self._path(f, "term_stats"))]
+        schema = "field string, term string, df long, cnt long"
+        if not folders:
+            return self.spark.createDataFrame([], schema)
+        rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}/term_stats" for f in folders])
+        return rows.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt"))
+
     def clean(self) -> list[str]:
         """Deletes folders that the manifest no longer names."""
         keep = {self.manifest.base, *self.manifest.deltas}

@@ -1,0 +1,186 @@
+import json
+
+import pytest
+
+from skimlight.engine import Busy, Range, SearchEngine, SearchRequest
+from skimlight.functions.formula import FormulaError, MissingQueryVariable
+from skimlight.plans.query import InvalidQuery
+from skimlight.sources import changelog, documents
+
+CHANGE = "docid string, deleted boolean, ts int, fields map<string,string>, variables map<int,double>, categories map<string,string>"
+NOW = 1_000_000
+
+
+def change(docid, text=None, ts=None, variables=None, categories=None, deleted=False, **fields):
+    own = ({"text": text} if text is not None else {}) | fields
+    return (docid, deleted, ts, own or None, variables, categories)
+
+
+def apply(engine, *rows):
+    engine.apply(engine.spark.createDataFrame(list(rows), CHANGE))
+
+
+def ids(engine, query, **request):
+    request = {"function": 0, "limit": 100} | request
+    return [r.docid for r in engine.search(SearchRequest(query, NOW, **request)).rows.collect()]
+
+
+@pytest.fixture
+def engine(spark, tmp_path):
+    return SearchEngine(spark, str(tmp_path / "index"), n_vars=3)
+
+
+def facets(result):
+    out = {}
+    for r in result.facets.collect():
+        out.setdefault(r.category, {})[r.value] = r.cnt
+    return out
+
+
+def test_facets(engine):
+    data = [("D1", "A", "BAJO", "NAH"), ("D2", "A", "BAJO", "SI"), ("D3", "A", "ALTO", "NAH"), ("D4", "A B", "ALTO", "SI"),
+            ("D5", "A B", "BAJO", "NAH"), ("D6", "B", "BAJO", "SI"), ("D7", "B", None, "NAH"), ("D8", "B", None, "TERCERO")]
+    apply(engine, *[change(d, t, i, categories={k: v for k, v in (("PRECIO", p), ("TIPO", x)) if v}) for i, (d, t, p, x) in enumerate(data)])
+    assert facets(engine.search(SearchRequest("a", NOW))) == {"PRECIO": {"ALTO": 2, "BAJO": 3}, "TIPO": {"NAH": 3, "SI": 2}}
+    assert facets(engine.search(SearchRequest("b", NOW))) == {"PRECIO": {"ALTO": 1, "BAJO": 2}, "TIPO": {"NAH": 2, "SI": 2, "TERCERO": 1}}
+    assert ids(engine, "a OR b", facets={"PRECIO": ["BAJO"]}) == ["D6", "D5", "D2", "D1"]
+    assert ids(engine, "a OR b", facets={"TIPO": ["NAH", "TERCERO"]}) == ["D8", "D7", "D5", "D3", "D1"]
+    assert ids(engine, "a OR b", facets={"TIPO": ["NAH", "TERCERO"], "PRECIO": ["BAJO"]}) == ["D5", "D1"]
+    assert ids(engine, "a OR b", facets={"NONE": ["X"]}) == []
+    result = engine.search(SearchRequest("b", NOW, limit=2, fetch_fields=["*"], fetch_variables=True, fetch_categories=True, snippet_fields=["text"]))
+    row = result.rows.collect()[0].asDict()
+    assert row["docid"] == "D8" and row["fields"] == {"text": "B"} and row["vars"] == [0, 0, 0]
+    assert row["cats"] == {"TIPO": "TERCERO"} and row["snippet_text"] == "<b>B</b>" and result.matches == 5
+    assert json.loads(documents.as_json(result.rows.limit(1)).first().value)["docid"] == "D8"
+
+
+def test_pages_and_promotion(engine):
+    apply(engine, *[change(f"doc_{i}", f"term{i} fixed", 500_000 - 1000 * i) for i in range(5)])
+    apply(engine, *[change(f"doc_{i}", f"term{i} fixed", 500_000 - 1000 * i) for i in range(5, 12)])
+
+    def pages(start, limit):
+        return [int(d[4:]) for d in ids(engine, "fixed", start=start, limit=limit)]
+
+    assert (pages(0, 5), pages(5, 5), pages(10, 5)) == ([0, 1, 2, 3, 4], [5, 6, 7, 8, 9], [10, 11])
+    engine.promote("doc_6", "Fixed")
+    assert (pages(0, 1), pages(0, 5), pages(5, 5), pages(10, 5)) == ([6], [6, 0, 1, 2, 3], [4, 5, 7, 8, 9], [10, 11])
+    assert engine.search(SearchRequest("fixed", NOW)).matches == 12
+    engine.promote("doc_10", "fixed")
+    assert pages(10, 5) == [9, 11]
+    assert engine.count("term1") == 1 and engine.count("term11") == 1
+    assert engine.count("term1 OR term2 OR term3 OR term4 OR term5") == 5
+    assert engine.size() == 12
+
+
+def test_updates(engine):
+    apply(engine, change("a", "one two", 10, {0: 1.5}, {"c": "x"}), change("b", "one", 20), change("", "one", 1))
+    apply(engine, change("a", variables={2: 7.0}, categories={"d": "y", "c": ""}))
+    apply(engine, change("z", variables={0: 9.0}))
+    rows = {r.docid: r for r in engine.dynamic().collect()}
+    assert list(rows["a"].vars) == [1.5, 0, 7] and rows["a"].cats == {"d": "y"} and rows["a"].ts == 10 and list(rows["z"].vars) == [9, 0, 0]
+    assert ids(engine, "two") == ["a"] and engine.size() == 2
+    apply(engine, change("a", "three", 30))
+    assert ids(engine, "two") == [] and ids(engine, "one") == ["b"] and ids(engine, "three") == ["a"]
+    assert list({r.docid: r for r in engine.dynamic().collect()}["a"].vars) == [1.5, 0, 7]
+    apply(engine, change("a", deleted=True))
+    assert ids(engine, "three") == [] and engine.size() == 1 and {r.docid for r in engine.dynamic().collect()} == {"b", "z"}
+    before = sorted(map(str, engine.postings().collect()))
+    engine.checkpoint()
+    assert sorted(map(str, engine.postings().collect())) == before and engine.store.manifest.deltas == []
+    assert len(engine.store.clean()) == 5
+    again = SearchEngine(engine.spark, engine.store.root, n_vars=3)
+    assert ids(again, "one") == ["b"] and ids(again, "documentId:b") == ["b"]
+    with pytest.raises(Exception, match="out of range"):
+        apply(engine, change("b", variables={3: 1.0}))
+
+
+def test_many_deltas_equal_a_rebuild(engine, tmp_path):
+    import random
+
+    rng, rows = random.Random(5), []
+    for step in range(12):
+        batch = [change(f"d{i}", deleted=True) if rng.random() < 0.2 else change(f"d{i}", " ".join(rng.choices("abcdef", k=4)), step, {0: rng.random()})
+                 for i in rng.sample(range(10), 4)]
+        apply(engine, *batch)
+        rows += [(step * 100 + k, *r) for k, r in enumerate(batch)]
+    log = engine.spark.createDataFrame(rows, "seq long, " + CHANGE)
+    rebuilt = SearchEngine(engine.spark, str(tmp_path / "other"), n_vars=3)
+    rebuilt.recover(log)
+    for name in ("documents", "postings", "dynamic"):
+        assert sorted(map(str, getattr(engine, name)().collect())) == sorted(map(str, getattr(rebuilt, name)().collect()))
+
+
+def test_functions_and_ranges(engine):
+    apply(engine, *[change(f"{i}", "x " * (i + 1), 100 * i, {0: float(i), 1: float(i % 2)}) for i in range(6)])
+    engine.add_functions("1:relevance|2:d[0]|3:q[0] * d[0] - d[1] * 100")
+    assert ids(engine, "x", function=2) == list("543210") and ids(engine, "x", function=0) == list("543210")
+    assert ids(engine, "x", function=9) == list("543210")
+    assert ids(engine, "x", function=3, query_vars={0: -1.0}) == list("024135")
+    assert ids(engine, "x", function=2, variable_ranges=[Range(0, 1, 2), Range(0, 4), Range(1, None, 0)]) == ["4", "2"]
+    assert ids(engine, "x", function=2, function_ranges=[Range(2, 3, None)]) == ["5", "4", "3"]
+    with pytest.raises(MissingQueryVariable):
+        ids(engine, "x", function=3)
+    with pytest.raises(FormulaError):
+        engine.add_function(4, "nonsense(")
+    engine.remove_function(3)
+    assert engine.list_functions() == {0: "0-A", 1: "relevance", 2: "d[0]"}
+    assert SearchEngine(engine.spark, engine.store.root, n_vars=3).list_functions() == engine.list_functions()
+    with pytest.raises(InvalidQuery):
+        ids(engine, "-x")
+
+
+def test_suggestions(engine):
+    counts = {"hola": 1, "chau": 1, "chacinado": 2, "chancho": 1, "chanchon": 1, "chancha": 1, "chanchito": 2, "chanchitos": 1, "chanchos": 3,
+              "chanchas": 1, "chapalmalal": 1, "chapelco": 4, "charco": 1, "chaucha": 1, "chino": 5, "choique": 1}
+    apply(engine, change("1", " ".join(w for w, n in counts.items() for _ in range(n))), change("2", "ñandú"))
+    assert engine.complete("hol") == ["hola"] and engine.complete("cha")[0] == "chapelco"
+    assert engine.complete("ch")[:3] == ["chino", "chapelco", "chanchos"]
+    assert engine.complete("el chan") == ["el chanchos", "el chanchito", "el chancha", "el chanchas", "el chanchitos"]
+    assert engine.complete("") == []
+    assert engine.search(SearchRequest("chapelca", NOW)).did_you_mean == "chapelco"
+    assert engine.search(SearchRequest("chapelco", NOW)).did_you_mean is None
+    assert engine.search(SearchRequest("chapelca OR chapelca", NOW)).did_you_mean is None
+    past = SearchEngine(engine.spark, engine.store.root, n_vars=3, suggest="queries")
+    past.search(SearchRequest("chapelco OR nothing", NOW))
+    assert past.complete("cha x") == ["chapelco"]
+    assert SearchEngine(engine.spark, engine.store.root, suggest="none").complete("ab") == ["ab"]
+    assert engine.stats().first().documents == 2
+
+
+def test_too_many_searches(engine):
+    busy = SearchEngine(engine.spark, engine.store.root, concurrent=1, waiting=0)
+    busy._waiting.acquire()
+    with pytest.raises(Busy):
+        busy.search(SearchRequest("a", NOW))
+
+
+def test_per_field_analyzers(spark, tmp_path):
+    config = {"perField": {"code": {"analyzer": "keyword"}}, "default": {"analyzer": "simple", "stopwords": ["the"]}}
+    engine = SearchEngine(spark, str(tmp_path / "i"), analyzer_config=config)
+    apply(engine, change("1", "the cat", code="AB-1"), change("2", "cat", code="ab 1"))
+    assert ids(engine, 'code:"AB-1"') == ["1"] and ids(engine, "cat") == ["1", "2"]
+    with pytest.raises(InvalidQuery):
+        ids(engine, "the")
+
+
+def test_json_source(spark, tmp_path):
+    path = tmp_path / "docs.json"
+    path.write_text(json.dumps([{"docid": "a", "fields": {"text": "x", "timestamp": "77"}, "variables": {"0": 2.5}}, {"docid": "", "fields": {"text": "y"}}, {"docid": "b", "fields": {"text": "x"}, "categories": {"c": "v"}}]))
+    rows = {r.docid: r for r in documents.read_json(spark, str(path), NOW).collect()}
+    assert set(rows) == {"a", "b"} and rows["a"].ts == 77 and rows["b"].ts == NOW and rows["a"].variables == {0: 2.5}
+    engine = SearchEngine(spark, str(tmp_path / "i"))
+    engine.apply(documents.read_json(spark, str(path), NOW))
+    engine.apply(documents.deletions(spark.createDataFrame([("a",), (None,)], "docid string")))
+    assert ids(engine, "x") == ["b"]
+
+
+def test_from_table(spark):
+    df = spark.createDataFrame([(1, "red ring", "B1", 2.0)], "k long, name string, brand string, price double")
+    row = documents.from_table(df, "k", {"text": "name"}, ["price"], {"brand": "brand"}, 5).first()
+    assert (row.docid, row.fields, row.variables, row.categories, row.ts) == ("1", {"text": "red ring"}, {0: 2.0}, {"brand": "B1"}, 5)
+
+
+def test_log_needs_an_index(spark, tmp_path):
+    rows = spark.createDataFrame([("a", None)], "docid string, index_code string")
+    with pytest.raises(Exception, match="index_code"):
+        changelog.append(rows, str(tmp_path / "log"))
