@@ -9,8 +9,9 @@ its size. Only the histogram and the patterns are on the driver.
 
 from __future__ import annotations
 
+import re
 import zlib
-from collections.abc import Callable, Iterable
+from collections.abc import Iterable
 from dataclasses import dataclass
 
 import numpy as np
@@ -18,10 +19,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import materialise, prefix_sums, worker_state
+from .util import materialise, prefix_sums, slices, worker_state
 
-#: Words whose ids a Python worker keeps, about 80 MB.
-CACHED_WORDS = 300_000
+#: Words whose ids a Python worker keeps: about 40 MB.
+CACHED_WORDS = 200_000
 
 
 @dataclass(frozen=True)
@@ -119,15 +120,20 @@ class Places:
         return self.first[at] + back // self.each[at], self.offset[at] + back % self.each[at] * self.size[at]
 
 
-def word_encoder(path: str | None) -> Callable[[list[bytes | None]], list[bytes]]:
-    """UTF-8 texts -> ids as little-endian unsigned 32-bit numbers.
+#: Texts of these characters split into the vocabulary's words by PARTS, lower-cased; others are left to the library.
+PLAIN = re.compile(r"[\t-\r\x20-~À-ÖØ-öø-ÿ]*")
+PARTS = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[a-zß-öø-ÿ]+|[0-9]|[^\sa-zß-öø-ÿ0-9]+")
 
-    The vocabulary drops white space and never merges across it, so ids are looked up
-    word by word; unknown words are encoded together.
+
+class WordEncoder:
+    """Texts -> ids as little-endian unsigned 32-bit numbers, as bytes.
+
+    The vocabulary is lower case, drops white space and merges inside words only, so ids
+    are looked up word by word, and the new words of many texts are encoded together. The
+    number of words kept is bounded by CACHED_WORDS.
     """
-    state = worker_state()
-    key = ("words", path)
-    if key not in state:
+
+    def __init__(self, path: str | None):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -137,26 +143,47 @@ def word_encoder(path: str | None) -> Callable[[list[bytes | None]], list[bytes]
             import public_tokenizers
 
             path = public_tokenizers.path("word_bpe_49k.json")
-        state[key] = (Tokenizer.from_file(path), {})
-    model, known = state[key]
+        self.model = Tokenizer.from_file(path)
+        vocabulary = self.model.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.known: dict[str, bytes] = {}
+
+    def _learn(self, new: list[str]) -> None:
+        """Each is one word for the vocabulary: its last id is the only one that ends a word."""
+        groups = [new[i : i + 2000] for i in range(0, len(new), 2000)]
+        for group, e in zip(groups, self.model.encode_batch_fast([" ".join(g) for g in groups], add_special_tokens=False), strict=True):
+            ids = np.array(e.ids, "<u4")
+            cuts = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cuts) != len(group):  # not such a vocabulary
+                self.known.update((w, self._alone(w)) for w in group)
+                continue
+            raw = ids.tobytes()
+            self.known.update((w, raw[lo:hi]) for w, lo, hi in zip(group, [0, *cuts], cuts, strict=False))
+
+    def _alone(self, text: str) -> bytes:
+        return np.array(self.model.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def encode(texts: list[bytes | None]) -> list[bytes]:
-        words = []
+    def __call__(self, texts: list[str | None]) -> list[bytes]:
+        parts: list[list[str] | None] = []
         for t in texts:
-            t = t or b""
-            # the vocabulary is lower case; strings of special tokens are looked for before that
-            words.append((t.lower() if t.isascii() and b"<|" not in t else t).split())
-        new = list({w for ws in words for w in ws if w not in known})
-        if len(known) + len(new) > CACHED_WORDS:
-            known.clear()
-            new = list({w for ws in words for w in ws})
-        for i in range(0, len(new), 10_000):
-            part = new[i : i + 10_000]
-            for w, e in zip(part, model.encode_batch_fast([w.decode() for w in part], add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join(map(known.__getitem__, ws)) for ws in words]
-
-    return encode
+            # strings of special tokens are looked for in the text as it is
+            plain = not t or (PLAIN.fullmatch(t) and "<|" not in t)
+            parts.append(PARTS.findall(t.lower()) if t and plain else [] if plain else None)
+        every = set().union(*(p for p in parts if p))
+        if len(self.known) > CACHED_WORDS:
+            self.known.clear()
+        self._learn(list(every.difference(self.known)))
+        ids = self.known.__getitem__
+        return [b"".join(map(ids, p)) if p is not None else self._alone(t) for p, t in zip(parts, texts, strict=True)]
+
+
+def word_encoder(path: str | None) -> WordEncoder:
+    """The worker's encoder for this vocabulary."""
+    state = worker_state()
+    if ("words", path) not in state:
+        state["words", path] = WordEncoder(path)
+    return state["words", path]
 
 
 def token_pieces(
@@ -168,8 +195,7 @@ def token_pieces(
     def run(batches):
         encode = word_encoder(tokenizer)
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch):
                 which, piece, start, length, crc, ids = [], [], [], [], [], []
                 for i, b in enumerate(encode(part.column(1).to_pylist())):
                     b += tail
@@ -189,7 +215,7 @@ def token_pieces(
 
     kind = docs.schema[id_col].dataType.simpleString()
     schema = f"id {kind}, piece int, start long, length long, ids_crc32 long" + ", ids array<int>" * with_ids
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
     return rows.mapInArrow(run, schema)
 
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import shutil
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -43,6 +46,17 @@ def release(spark: SparkSession) -> None:
         path.getFileSystem(conf).delete(path, True)
 
 
+@atexit.register
+def _release_at_exit() -> None:
+    """What a session has not released goes with its process; its results are read by then."""
+    with contextlib.suppress(Exception):
+        if (session := SparkSession.getActiveSession()) is not None:
+            release(session)
+    for path in _written:
+        if path.startswith(f"{LOCAL_FOLDER}/"):
+            shutil.rmtree(path, ignore_errors=True)
+
+
 def stored_bytes(spark: SparkSession, df: DataFrame) -> int:
     """Bytes of the files behind a table ``materialise`` has returned."""
     jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
@@ -89,6 +103,12 @@ def prefix_sums(rows: DataFrame, group: list[str], place: str, value: str, ties:
     )
 
 
+def slices(batch, rows: int = 250):
+    """Parts of an Arrow batch, so that few texts are Python objects at a time."""
+    for lo in range(0, batch.num_rows, rows):
+        yield batch.slice(lo, rows)
+
+
 def worker_state() -> dict:
     """What a Python worker keeps from task to task (loaded models and caches)."""
     import sys
