@@ -23,6 +23,7 @@ from .operators import suggest as S
 from .plans.match import match
 from .plans.query import MatchAll, Node, parse
 from .sources import changelog
+from .streaming import ingest as stream
 
 NOW = 1_706_745_600  # 2024-02-01
 SIMPLE = {"default": {"analyzer": "simple"}}
@@ -577,6 +578,16 @@ def log_demux(spark, sf):
     return changelog.log_info(changelog.records(events_log(spark, sf)))
 
 
+@query("select cast(user_id % 7 as varchar) as index_code, count(*) as records, count(distinct user_id) as documents, max(event_id) as \"last\" from events group by 1")
+def stream_deal(spark, sf):
+    """The same log, appended to as it comes, read as a stream and dealt into one folder per index."""
+    folder = stream.scratch_folder(spark)
+    out = f"{folder}/dealt"
+    changelog.append(events_log(spark, sf), f"{folder}/log")
+    stream.deal(stream.open_log(spark, f"{folder}/log"), out, f"{folder}/offsets", once=True).awaitTermination()
+    return changelog.log_info(changelog.read(spark, out).withColumn("index_code", F.col("index_code").cast("string")))
+
+
 @query(FOLD + """ select cast(user_id as varchar) as docid, cast(coalesce(v0, 0) as float) as v0, cast(coalesce(v1, 0) as float) as v1,
     cast(coalesce(v2, 0) as float) as v2 from state where not deleted""")
 def update_variables(spark, sf):
