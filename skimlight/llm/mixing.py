@@ -20,9 +20,11 @@ from collections.abc import Mapping
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .util import materialise, prefix_sums
+from .util import materialise, prefix_sums, stored_bytes
 
 LEVELS = ["domain", "lang", "source"]
+#: Quotas up to this size on disk are broadcast; beyond it, rows are dealt by leaf and salt.
+BROADCAST_BYTES, SALTS = 4 << 20, 64
 
 
 def tokens_of(text: str | Column) -> Column:
@@ -132,8 +134,15 @@ def mix_sources(
         F.expr("case when tokens > 0 then quota div tokens else 0L end").alias("whole"),
         F.expr("case when tokens > 0 then quota % tokens else 0L end").alias("left"),
     )
+    leaves = materialise(leaves, "quotas")
+    if stored_bytes(docs.sparkSession, leaves) <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(leaves), LEVELS)
+    else:  # the rows of a large leaf go to many tasks, each with a copy of its quota
+        salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("id", "tokens"), F.lit(SALTS)).cast("int")
+        joined = rows.withColumn("salt", salt).join(salted, [*LEVELS, "salt"]).drop("salt")
     order = F.md5(F.concat_ws(":", F.lit(seed), "whole", F.col("id").cast("string")))
-    placed = prefix_sums(rows.join(leaves, LEVELS).withColumn("place", order), LEVELS, "place", "tokens", ["id", "tokens"])
+    placed = prefix_sums(joined.withColumn("place", order), LEVELS, "place", "tokens", ["id", "tokens"])
     return (
         placed.withColumn("times", F.col("whole") + (F.col("upto") <= F.col("left")).cast("long"))
         .where("times > 0 and whole + left > 0")
