@@ -12,7 +12,8 @@ others; the second is linear in the members.
 that are 0.8 alike differ in about ten of 64 bits, which no split into blocks covers.
 There the shingles themselves are split: into sections by their hash, each with a
 SimHash of its own, so many that a close pair leaves some sections untouched. Equal
-section fingerprints are the blocks; a long fingerprint is then verified.
+section fingerprints are the blocks; then the Hamming distance of a long fingerprint is
+verified, and near the threshold the similarity itself.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .util import materialise
+from .util import materialise, slices, stored_bytes
 
 #: Members up to which a block is joined pair by pair.
 PAIRWISE = 64
@@ -70,10 +71,11 @@ def fingerprints(docs: DataFrame, id_col: str, text_col: str, words: int = 5, se
 
     def run(batches):
         for batch in batches:
-            fp = [fingerprint_bytes(t, words, seed) for t in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(np.array(fp, np.uint64).view(np.int64), pa.int64())], names=["id", "fp"]
-            )
+            for part in slices(batch):
+                fp = [fingerprint_bytes(t, words, seed) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays(
+                    [part.column(0), pa.array(np.array(fp, np.uint64).view(np.int64), pa.int64())], names=["id", "fp"]
+                )
 
     rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
     return rows.mapInArrow(run, f"id {docs.schema[id_col].dataType.simpleString()}, fp long")
@@ -150,8 +152,8 @@ def simhash_groups(
 
 #: Bits of the long fingerprint, and how many sections of a pair at the threshold shall remain untouched.
 LONG_BITS, UNTOUCHED = 512, 5
-#: A set's sections are made for its size class and the next; pairs may differ by this factor in size.
-CLASS_RATIO = 1.25
+#: Ends of open pairs up to this size on disk are broadcast to the texts; beyond it both are shuffled.
+BROADCAST_BYTES = 4 << 20
 
 
 def mix64(x: np.ndarray, salt: int) -> np.ndarray:
@@ -173,12 +175,16 @@ def section_count(size: float, similarity: float) -> int:
 
 
 def section_keys(h: np.ndarray, similarity: float) -> np.ndarray:
-    """Keys (size class, section, SimHash of the section) of a set of distinct shingle hashes."""
-    base = int(np.floor(np.log(len(h)) / np.log(CLASS_RATIO) + 1e-9))
+    """Keys (size class, section, SimHash of the section) of a set of distinct shingle hashes.
+
+    A class holds the sizes from a power of two to the next; a set that a pair at the
+    threshold may have in the next class has that one's sections too.
+    """
+    own = len(h).bit_length()
     out = []
-    for level in (base, base + 1):
-        m = section_count(CLASS_RATIO**level, similarity)
-        part = mix64(h, level + 1) % np.uint64(m)
+    for level in (own, own + 1) if len(h) >= similarity * 2**own else (own,):
+        m = section_count(2**level, similarity)
+        part = mix64(h, level) % np.uint64(m)
         order = np.argsort(part, kind="stable")
         part = part[order]
         starts = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
@@ -200,10 +206,11 @@ def near_duplicates(
 ) -> DataFrame:
     """One row per input row: ``id_col``, component_id, group_size.
 
-    Documents are linked if the Jaccard similarity of their sets of word shingles is about
-    ``similarity`` or more, as the long fingerprint's Hamming distance tells. A linked
-    pair is met with probability 1 - exp(-UNTOUCHED) or more. Documents that share a
-    section are linked through one of them, drawn by hash for each section, so the pairs
+    Documents are linked if the Jaccard similarity of their sets of word shingles is
+    ``similarity`` or more: the long fingerprint's Hamming distance settles pairs well
+    above or below it, and the sets themselves the others. A pair at the threshold is met
+    with a probability of about 1 - exp(-UNTOUCHED), one more alike with a higher one. Documents that share a
+    section are linked through one of them, another one for each section, so the pairs
     compared grow with the documents and not with the square of a group.
 
     component_id is the smallest identifier reachable. Texts without words, null among
@@ -213,8 +220,7 @@ def near_duplicates(
 
     def run(batches):
         for batch in batches:
-            for lo in range(0, batch.num_rows, 500):
-                part = batch.slice(lo, 500)
+            for part in slices(batch):
                 fps, keys = [], []
                 for text in part.column(1).to_pylist():
                     h = np.unique(shingle_hashes(text, words, seed))
@@ -224,30 +230,56 @@ def near_duplicates(
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, longs), pa.array(keys, longs)], names=["id", "fp", "keys"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = rows.mapInArrow(run, f"id {kind}, fp array<long>, keys array<long>").withColumn("node", F.xxhash64("fp"))
-    rows = materialise(rows, "sections")
-    nodes = materialise(
-        rows.groupBy("node").agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"), F.any_value("fp").alias("fp")), "nodes"
+    texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("id"), F.col(text_col).cast("binary").alias("text"))
+    rows = texts.mapInArrow(run, f"id struct<id: {kind}, h: bigint>, fp array<long>, keys array<long>")
+    rows = materialise(rows.withColumn("node", F.xxhash64("fp")), "sections")
+    nodes = rows.groupBy("node").agg(
+        F.min("id").alias("one"), F.min("id.id").alias("low"), F.count(F.lit(1)).alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")
     )
-    keyed = materialise(rows.select("node", F.explode("keys").alias("key")).distinct(), "keys")
-    centre = keyed.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("c"), F.count(F.lit(1)).alias("n"))
-    centre = centre.where("n > 1").select("key", F.col("c.node").alias("a"))
+    nodes = materialise(nodes, "nodes")
+    keyed = nodes.select("node", F.explode("keys").alias("key"))
+    # the least of node ^ key draws another document for each section, and gives it back
+    centre = keyed.groupBy("key").agg(F.min(F.expr("node ^ key")).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    centre = materialise(centre.select("key", F.expr("v ^ key").alias("a")), "centres")
     pairs = keyed.join(centre, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
     pairs = materialise(pairs.distinct(), "pairs")
-    # the angle between two sets of a size at this Jaccard similarity, as a share of the bits
-    most = int(LONG_BITS * np.arccos(2 * similarity / (1 + similarity)) / np.pi) + LONG_BITS // 64
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    links = (
-        pairs.join(nodes.select(F.col("node").alias("a"), F.col("fp").alias("fp_a")), "a")
-        .join(nodes.select(F.col("node").alias("b"), F.col("fp").alias("fp_b")), "b")
-        .where(distance <= most)
-        .select("a", "b")
+    fps = nodes.select("node", "fp")
+    # the share of bits that differ is the angle between two sets, which this similarity gives for sets of one size
+    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
+    slack = 2.5 * np.sqrt(angle * (1 - angle) / LONG_BITS)
+    compared = (
+        pairs.join(fps.toDF("a", "fp_a"), "a").join(fps.toDF("b", "fp_b"), "b")
+        .select("a", "b", (distance / LONG_BITS).alias("d")).where(F.col("d") <= float(angle + slack))
+    )
+    compared = materialise(compared, "compared")
+    sure, open_ = compared.where(F.col("d") <= float(angle - slack)), compared.where(F.col("d") > float(angle - slack))
+    ends = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "one"), "node")
+    ends = materialise(ends.select("node", "one.h", F.col("one.id").alias("i")), "ends")
+    if stored_bytes(docs.sparkSession, ends) <= BROADCAST_BYTES:
+        ends = F.broadcast(ends)
+    of_ends = texts.select(F.col("id.h").alias("h"), F.col("id.id").alias("i"), "text").join(
+        ends.withColumnsRenamed({"h": "h2", "i": "i2"}), F.expr("h = h2 and i <=> i2")
     )
+    of_ends = materialise(of_ends.select("node", "text").dropDuplicates(["node"]), "texts")
+    both = open_.select("a", "b").join(of_ends.toDF("a", "text_a"), "a").join(of_ends.toDF("b", "text_b"), "b")
+
+    def exact(batches):
+        for batch in batches:
+            for part in slices(batch, 50):
+                alike = []
+                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
+                    x, y = (np.unique(shingle_hashes(t, words, seed)) for t in (x, y))
+                    common = len(np.intersect1d(x, y, assume_unique=True))
+                    alike.append(common >= similarity * (len(x) + len(y) - common))
+                yield part.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+
+    verified = both.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
+    links = sure.select("a", "b").unionByName(verified)
     found = connected_components(links)
     parts = materialise(
         nodes.select("node", "low", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "parts"
     )
     lows = materialise(parts.groupBy("component").agg(F.min("low").alias("component_id"), F.sum("n").alias("group_size")), "lows")
     named = materialise(parts.select("node", "component").join(lows, "component").drop("component"), "named")
-    return rows.select("id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id", "group_size")
+    return rows.select("id.id", "node").join(named, "node").select(F.col("id").alias(id_col), "component_id", "group_size")
