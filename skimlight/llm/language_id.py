@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import fold_of
+from .util import fold_of, slices
 
 #: Hash buckets of trigrams, and the count added to each.
 BUCKETS, PRIOR = 1 << 13, 0.5
@@ -108,9 +108,10 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
         for b in batches:
-            for lang, text in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
-                at, n = trigrams(text)
-                total.setdefault(lang, np.zeros(BUCKETS))[at] += n
+            for part in slices(b):
+                for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                    at, n = trigrams(text)
+                    total.setdefault(lang, np.zeros(BUCKETS))[at] += n
         for lang, n in total.items():
             at = np.flatnonzero(n)
             yield pa.RecordBatch.from_arrays(
@@ -146,7 +147,7 @@ def identify_languages(
     model = fit(docs, id_col, text_col, lang_col, folds, held, per_language)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in (part for batch in batches for part in slices(batch)):
             found = [model.identify(t) for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [

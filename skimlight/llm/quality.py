@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .util import materialise
+from .util import materialise, slices
 
 #: Bytes counted together, as shares of the text.
 CLASSES = [
@@ -86,7 +86,7 @@ def with_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """id, x: the statistics of each row's text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole)):
             x = [statistics(t) for t in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(x, pa.list_(pa.float64()))], names=["id", "x"])
 
