@@ -258,7 +258,6 @@ def pack_documents(
     kind = docs.schema[id_col].dataType.simpleString()
     out = ranked.mapInArrow(run, f"id {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
     if with_ids:
-        ids = pieces.select("id", "piece", "ids_crc32", "ids").dropDuplicates(["id", "piece", "ids_crc32"])
-        same = [out[c].eqNullSafe(ids[c]) for c in ("id", "piece", "ids_crc32")]
-        out = out.join(ids, same).select(*[out[c] for c in out.columns], ids["ids"])
+        ids = pieces.select("id", "piece", "ids_crc32", "ids").dropDuplicates(["id", "piece", "ids_crc32"]).toDF("i", "p", "c", "ids")
+        out = out.join(ids, F.expr("id <=> i and piece = p and ids_crc32 = c")).drop("i", "p", "c")
     return out.withColumnRenamed("id", id_col)

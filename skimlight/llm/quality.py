@@ -112,7 +112,7 @@ def fit(training: DataFrame, features: int = 256, ridge: float = 1e-3, width: fl
         total = sum((sums(_matrix(b.column(0))) for b in batches if len(b)), np.zeros(1 + 2 * d))
         yield pa.RecordBatch.from_arrays([pa.array([total], pa.list_(pa.float64()))], names=["v"])
 
-    n, *rest = np.sum([r.v for r in parts.select("x").mapInArrow(moments, "v array<double>").collect()], axis=0)
+    n, *rest = sum((np.array(r.v) for r in parts.select("x").mapInArrow(moments, "v array<double>").collect()), np.zeros(1 + 2 * d))
     if not n:
         return None
     mean, square = np.split(np.array(rest) / n, 2)

@@ -28,6 +28,9 @@ SLICE_ROWS, GROUP_ROWS = 6144, 4096
 BLOCK_ROWS, BLOCK_QUERIES = 1024, 512
 
 
+LONG = 2**63 - 1
+
+
 def _best(score: np.ndarray, ids: np.ndarray, k: int) -> np.ndarray:
     """Positions of the k highest scores, ties to the smaller id."""
     return np.lexsort((ids, -score))[:k]
@@ -93,7 +96,8 @@ def search_slice(q: np.ndarray, q_ids: np.ndarray, x: np.ndarray, x_ids: np.ndar
                     if len(best) == k:
                         need[i] = score[i][-1]
         for i in range(len(own)):
-            out.append((np.full(len(ids[i]), lo + i), ids[i], score[i].astype(np.int64)))
+            exact = np.array([min(max(int(v), -LONG), LONG) for v in score[i]], np.int64) if kind is object else score[i].astype(np.int64)
+            out.append((np.full(len(ids[i]), lo + i), ids[i], exact))
     if not out:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     return tuple(np.concatenate(c) for c in zip(*out, strict=True))
@@ -113,7 +117,7 @@ def exact_topk(
     row's candidates are all rows with another id and as many components; ties go to the
     smaller id. Rows whose id or vector is null, or whose vector holds a null or
     non-finite component, take no part. Query rows that repeat an id and vector count
-    once, candidates each. Empty tables give an empty result; other columns are not read.
+    once, candidates each. Scores beyond a long are given, and compared, as its limit. Empty tables give an empty result; other columns are not read.
     """
     finite = F.forall(vector_col, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     good = vectors.where(F.col(id_col).isNotNull() & F.col(vector_col).isNotNull() & finite)
