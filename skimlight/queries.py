@@ -611,18 +611,18 @@ def delete_documents(spark, sf):
 
 
 @query(
-    """with old as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents where doc_id % 10 <> 0),
-    fresh as (select doc_id, regexp_extract_all(lower('the ' || lang), '[a-z0-9]+') as t from documents where doc_id % 10 = 0),
+    """with old as (
+        select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents where doc_id not in (select doc_id from labels)),
+    fresh as (
+        select doc_id, regexp_extract_all(lower('the ' || lang), '[a-z0-9]+') as t from documents where doc_id in (select doc_id from labels)),
     everything as (select * from old union all select * from fresh)
     select doc_id, round(sqrt(len(list_filter(t, lambda x: x = 'the')) / len(t)), 9) as score from everything where list_contains(t, 'the')"""
 )
 def tier_blend(spark, sf):
-    """Every tenth document has a newer version; the old one never matches any more."""
-    docs = table(spark, sf, "documents")
-    newer = F.col("doc_id") % 10 == 0
-    texts = P.field_of(docs, "doc_id", "text")
-    fresh = P.field_of(docs.where(newer).withColumn("text", F.concat(F.lit("the "), "lang")), "doc_id", "text")
-    blended = R.blend(texts, fresh, docs.where(newer).select(F.col("doc_id").alias("docid")))
+    """Documents with a label have a newer version; their old one never matches any more."""
+    docs, changed = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id").distinct()
+    newer = docs.join(changed, "doc_id", "left_semi").withColumn("text", F.concat(F.lit("the "), "lang"))
+    blended = R.blend(P.field_of(docs, "doc_id", "text"), P.field_of(newer, "doc_id", "text"), changed.withColumnRenamed("doc_id", "docid"))
     return rounded(match(P.build_postings(blended, analyzers(SIMPLE)), tree("the")))
 
 

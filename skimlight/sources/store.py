@@ -59,10 +59,15 @@ class Store:
         out = self._fs.create(new)
         out.write(bytearray(json.dumps(asdict(self.manifest)).encode()))
         out.close()
-        current = self._path("CURRENT")
-        if not self._fs.rename(new, current):  # where a rename does not replace
-            self._fs.delete(current, False)
-            self._fs.rename(new, current)
+        files = self._jvm.org.apache.hadoop.fs.FileContext.getFileContext(new.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
+        rename = self._jvm.org.apache.hadoop.fs.Options.Rename
+        over = self.spark.sparkContext._gateway.new_array(rename, 1)
+        over[0] = rename.OVERWRITE
+        files.rename(files.makeQualified(new), files.makeQualified(self._path("CURRENT")), over)
+
+    def refresh(self) -> None:
+        """Takes up what other sessions have written."""
+        self.manifest = self._load()
 
     def write(self, tables: dict[str, DataFrame], changed_text: DataFrame | None = None, changed_dynamic: DataFrame | None = None) -> str:
         """Writes a folder: tables, and the ids whose text and dynamic rows it replaces. Postings are laid out by field and term."""
