@@ -23,6 +23,7 @@ from .operators import suggest as S
 from .plans.match import match
 from .plans.query import MatchAll, Node, parse
 from .sources import changelog
+from .sources.documents import spread
 from .streaming import ingest as stream
 
 NOW = 1_706_745_600  # 2024-02-01
@@ -49,7 +50,8 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def postings(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id", text: str = "text", config: Mapping = SIMPLE) -> DataFrame:
-    return P.build_postings(P.field_of(table(spark, sf, name), key, text), analyzers(config))
+    texts = spread(P.field_of(table(spark, sf, name), key, text))
+    return P.build_postings(texts, analyzers(config))
 
 
 def tree(text: str) -> Node:
@@ -226,7 +228,7 @@ def term_stats(spark, sf):
 
 @query(POSTINGS + " select distinct doc_id, doc_len, round(sqrt(1 / doc_len), 9) as norm from postings")
 def doc_len_norm(spark, sf):
-    rows = P.tokens(P.field_of(table(spark, sf, "documents"), "doc_id", "text"), analyzers(SIMPLE))
+    rows = P.tokens(spread(P.field_of(table(spark, sf, "documents"), "doc_id", "text")), analyzers(SIMPLE))
     one = rows.where("pos = 1")
     return one.select(F.col("docid").alias("doc_id"), "doc_len", F.round(F.sqrt(1 / F.col("doc_len")), 9).alias("norm"))
 
@@ -246,7 +248,7 @@ def engine_stats(spark, sf):
 )
 def stopword_filter(spark, sf):
     config = {"default": {"analyzer": "simple", "stopwords": ["the", "of", "and", "to", "a", "de", "la", "que", "en"]}}
-    rows = P.tokens(P.field_of(table(spark, sf, "documents"), "doc_id", "text"), analyzers(config))
+    rows = P.tokens(spread(P.field_of(table(spark, sf, "documents"), "doc_id", "text")), analyzers(config))
     return rows.select(F.col("docid").alias("doc_id"), "pos", "term")
 
 
@@ -257,7 +259,7 @@ def stopword_filter(spark, sf):
 )
 def ascii_fold(spark, sf):
     terms = F.regexp_extract_all(fold(F.lower("text")), F.lit("[a-z0-9]+"), F.lit(0))
-    rows = table(spark, sf, "documents").select(F.explode(terms).alias("term"))
+    rows = spread(table(spark, sf, "documents").select("text")).select(F.explode(terms).alias("term"))
     return rows.groupBy("term").agg(F.count(F.lit(1)).alias("cnt"))
 
 
@@ -620,7 +622,7 @@ def delete_documents(spark, sf):
 )
 def tier_blend(spark, sf):
     """Documents with a label have a newer version; their old one never matches any more."""
-    docs, changed = table(spark, sf, "documents"), table(spark, sf, "labels").select("doc_id").distinct()
+    docs, changed = spread(table(spark, sf, "documents").select("doc_id", "text", "lang")), table(spark, sf, "labels").select("doc_id").distinct()
     newer = docs.join(changed, "doc_id", "left_semi").withColumn("text", F.concat(F.lit("the "), "lang"))
     blended = R.blend(P.field_of(docs, "doc_id", "text"), P.field_of(newer, "doc_id", "text"), changed.withColumnRenamed("doc_id", "docid"))
     return rounded(match(P.build_postings(blended, analyzers(SIMPLE)), tree("the")))

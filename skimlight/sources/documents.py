@@ -9,6 +9,16 @@ from pyspark.sql import functions as F
 
 JSON_SCHEMA = "docid string, fields map<string,string>, variables map<string,double>, categories map<string,string>"
 
+#: Spark makes no smaller splits of files than this.
+SPLIT_BYTES = 4 << 20
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Deals a table over all cores if its files are too small to be split among them; others stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if 64 << 10 < size < cores * SPLIT_BYTES else df
+
 
 def valid(documents: DataFrame) -> DataFrame:
     """Without rows that have no id."""
