@@ -10,6 +10,8 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..sources.documents import spread
+
 #: Used only where the session names no shared folder (tests, one machine).
 LOCAL_FOLDER = "/tmp/checkpoints"
 
@@ -68,7 +70,8 @@ def stored_bytes(spark: SparkSession, df: DataFrame) -> int:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """A table of the test data; one too small to be split among the cores is dealt over them."""
+    return spread(spark.read.parquet(f"{sf_dir}/{name}.parquet"))
 
 
 def fold_of(column: str | Column, n: int) -> Column:
