@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import Analyzer, analyzers
@@ -19,24 +19,34 @@ def long_fields(documents: DataFrame) -> DataFrame:
     return documents.select("docid", F.explode(F.map_concat("fields", F.create_map(F.lit("documentId"), "docid"))).alias("field", "text"))
 
 
-def tokens(texts: DataFrame, analyze: Callable[[str], Analyzer], fields: list[str] | None = None) -> DataFrame:
-    """(docid, field, text) -> (docid, field, doc_len, pos, term). ``fields`` names those with analyzers of their own."""
+def tokens(
+    texts: DataFrame, analyze: Callable[[str], Analyzer], fields: list[str] | None = None, wanted: Callable[[Column], Column] | None = None
+) -> DataFrame:
+    """(docid, field, text) -> (docid, field, doc_len, pos, term).
+
+    ``fields`` names those with analyzers of their own. ``wanted`` tells of a term whether
+    it is asked for; others are dropped before they become rows (doc_len counts all).
+    """
     default = analyze("")
     terms = default(F.col("text"))
     for name in fields or []:
         terms = F.when(F.col("field") == name, analyze(name)(F.col("text"))).otherwise(terms)
     terms = F.when(F.col("field") == "documentId", F.array(F.struct(F.lit(1).alias("pos"), F.col("text").alias("term")))).otherwise(terms)
     split = texts.where("text is not null").select("docid", "field", terms.alias("t"))
-    return split.select("docid", "field", F.size("t").alias("doc_len"), F.explode("t").alias("t")).select("docid", "field", "doc_len", "t.pos", "t.term")
+    kept = F.col("t") if wanted is None else F.filter("t", lambda t: wanted(t["term"]))
+    return split.select("docid", "field", F.size("t").alias("doc_len"), F.explode(kept).alias("t")).select("docid", "field", "doc_len", "t.pos", "t.term")
 
 
-def build_postings(texts: DataFrame, analyze: Callable[[str], Analyzer] | None = None, fields: list[str] | None = None) -> DataFrame:
+def build_postings(
+    texts: DataFrame, analyze: Callable[[str], Analyzer] | None = None, fields: list[str] | None = None,
+    wanted: Callable[[Column], Column] | None = None,
+) -> DataFrame:
     """(docid, field, text) -> postings (field, term, docid, positions, tf, doc_len).
 
     All tokens of a text are in one row, so the aggregation is complete before the
     shuffle. A filter on field or term goes below it.
     """
-    rows = tokens(texts, analyze or analyzers(), fields)
+    rows = tokens(texts, analyze or analyzers(), fields, wanted)
     grouped = rows.groupBy("field", "term", "docid").agg(F.sort_array(F.collect_set("pos")).alias("positions"), F.max("doc_len").alias("doc_len"))
     return grouped.select("field", "term", "docid", "positions", F.size("positions").alias("tf"), "doc_len")
 

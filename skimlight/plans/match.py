@@ -8,6 +8,7 @@ once, and only what matches a leaf.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -34,6 +35,13 @@ def last_prefix_term(term_stats: DataFrame, field: str, prefix: str, cap: int =
     return terms[cap - 1].term if len(terms) > cap else None
 
 
+def terms_of(query: Node) -> Callable[[Column], Column]:
+    """Whether a term (of any field) is one that the query reads: for postings built only for it."""
+    terms = sorted({t for n in query.leaves() for t in ([n.term] if isinstance(n, Term) else n.terms if isinstance(n, Phrase) else [])})
+    prefixes = sorted({n.prefix for n in query.leaves() if isinstance(n, Prefix)})
+    return lambda term: reduce(lambda a, b: a | b, [term.isin(terms), *(term.startswith(p) for p in prefixes)])
+
+
 def match(postings: DataFrame, query: Node, docs: DataFrame | None = None, term_stats: DataFrame | None = None) -> DataFrame:
     """(docid, R): matching documents and their normalised relevance.
 

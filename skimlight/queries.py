@@ -20,7 +20,7 @@ from .operators import changes as C
 from .operators import postings as P
 from .operators import ranking as R
 from .operators import suggest as S
-from .plans.match import match
+from .plans.match import match, terms_of
 from .plans.query import MatchAll, Node, parse
 from .sources import changelog
 from .sources.documents import spread
@@ -49,9 +49,12 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def postings(spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id", text: str = "text", config: Mapping = SIMPLE) -> DataFrame:
+def postings(
+    spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id", text: str = "text", config: Mapping = SIMPLE, asked: Node | None = None
+) -> DataFrame:
+    """Postings of a text column; of all terms, or those that a query asks for."""
     texts = spread(P.field_of(table(spark, sf, name), key, text))
-    return P.build_postings(texts, analyzers(config))
+    return P.build_postings(texts, analyzers(config), wanted=asked and terms_of(asked))
 
 
 def tree(text: str) -> Node:
@@ -59,7 +62,8 @@ def tree(text: str) -> Node:
 
 
 def found(spark: SparkSession, sf: str, text: str, docs: DataFrame | None = None) -> DataFrame:
-    return match(postings(spark, sf), tree(text), docs)
+    asked = tree(text)
+    return match(postings(spark, sf, asked=asked), asked, docs)
 
 
 def rounded(matches: DataFrame, score: str = "R") -> DataFrame:
@@ -625,7 +629,8 @@ def tier_blend(spark, sf):
     docs, changed = spread(table(spark, sf, "documents").select("doc_id", "text", "lang")), table(spark, sf, "labels").select("doc_id").distinct()
     newer = docs.join(changed, "doc_id", "left_semi").withColumn("text", F.concat(F.lit("the "), "lang"))
     blended = R.blend(P.field_of(docs, "doc_id", "text"), P.field_of(newer, "doc_id", "text"), changed.withColumnRenamed("doc_id", "docid"))
-    return rounded(match(P.build_postings(blended, analyzers(SIMPLE)), tree("the")))
+    asked = tree("the")
+    return rounded(match(P.build_postings(blended, analyzers(SIMPLE), wanted=terms_of(asked)), asked))
 
 
 # All together

@@ -184,3 +184,21 @@ def test_log_needs_an_index(spark, tmp_path):
     rows = spark.createDataFrame([("a", None)], "docid string, index_code string")
     with pytest.raises(Exception, match="index_code"):
         changelog.append(rows, str(tmp_path / "log"))
+
+
+def test_small_tables_are_dealt_over_the_cores(spark, tmp_path):
+    path = str(tmp_path / "table")
+    spark.range(200_000).coalesce(1).write.parquet(path)
+    assert documents.spread(spark.read.parquet(path)).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert documents.spread(spark.read.parquet(path).limit(1)).count() == 1
+    tiny = spark.createDataFrame([(1,)], "a int")
+    assert documents.spread(tiny) is tiny
+
+
+def test_other_sessions_see_the_pointer(engine):
+    other = SearchEngine(engine.spark, engine.store.root, n_vars=3)
+    apply(engine, change("a", "x"))
+    apply(engine, change("b", "x"))
+    assert other.size() == 0
+    other.store.refresh()
+    assert other.size() == 2

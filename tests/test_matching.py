@@ -5,7 +5,7 @@ import pytest
 
 from skimlight.functions.text import analyzers
 from skimlight.operators.postings import build_postings, term_stats
-from skimlight.plans.match import last_prefix_term, match
+from skimlight.plans.match import last_prefix_term, match, terms_of
 from skimlight.plans.query import And, Difference, InvalidQuery, MatchAll, Or, Phrase, Prefix, Term, TermRange, parse
 
 SIMPLE = analyzers({"default": {"analyzer": "simple"}})
@@ -133,6 +133,13 @@ def test_one_pass_equals_node_by_node(spark):
         assert scores(own, node) == pytest.approx(want), node
 
 
+def test_postings_of_a_query_give_its_matches(spark):
+    rows = spark.createDataFrame([("1", "text", "a b ab"), ("2", "text", "b c"), ("3", "text", "d")], "docid string, field string, text string")
+    for query in ("a OR b", '"b ab"', "a* -c", "x"):
+        asked = parse(query)
+        assert scores(build_postings(rows, SIMPLE, wanted=terms_of(asked)), asked) == scores(build_postings(rows, SIMPLE), asked)
+
+
 def test_one_shuffle_by_document(spark, tmp_path):
     path = str(tmp_path / "postings")
     index(spark, [("1", "a b c"), ("2", "b c")]).write.parquet(path)
