@@ -29,6 +29,10 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .util import materialise, slices, stored_bytes
 
+#: Members up to which near_duplicates joins a block of a section pair by pair, and members of a tile of a larger one.
+BLOCK, TILE = 32, 256
+#: Shingles of a set that tiles compare: all, or of a larger set at least so many, drawn by hash.
+DRAWN = 1024
 #: Members up to which a block is joined pair by pair.
 PAIRWISE = 64
 #: Hashes counted at once.
@@ -196,6 +200,94 @@ def long_fingerprint(h: np.ndarray) -> np.ndarray:
     return np.concatenate([majority(mix64(h, 3000 + i)) for i in range(LONG_BITS // 64)])
 
 
+def blocks_apart(keyed: DataFrame, large: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, node, component, minor, minors, majors) of the ``large`` blocks (key, a) that lie in several components.
+
+    Those in the component of the block's centre ``a`` are the block's majors, with no links among them to look for.
+    """
+    of_centre = found.toDF("a", "major")
+    large = large.join(of_centre, "a", "left").select("key", F.coalesce("major", "a").alias("major"))
+    members = keyed.join(large, "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "major")
+    members = materialise(members.withColumn("minor", F.expr("component <> major")).drop("major"), "members")
+    sizes = members.groupBy("key").agg(F.count_if("minor").alias("minors"), F.count_if(~F.col("minor")).alias("majors")).where("minors > 0")
+    return materialise(members.join(sizes, "key"), "apart")
+
+
+def drawn_sets(texts: DataFrame, words: int, seed: int) -> DataFrame:
+    """node, size of the set of shingles, shift, drawn: hashes under 2^64 >> shift, all of a set up to 2 DRAWN."""
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch):
+                size, shift, drawn = [], [], []
+                for text in part.column(1).to_pylist():
+                    h = np.unique(shingle_hashes(text, words, seed))
+                    k = max(0, (len(h) // DRAWN).bit_length() - 1)
+                    size.append(len(h))
+                    shift.append(k)
+                    drawn.append(h[h <= np.uint64((2**64 - 1) >> k)].view(np.int64))
+                columns = [pa.array(size, pa.int64()), pa.array(shift, pa.int32()), pa.array(drawn, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["node", "size", "shift", "drawn"])
+
+    return texts.mapInArrow(run, "node long, size long, shift int, drawn array<long>")
+
+
+def common_counts(sets: list[np.ndarray]) -> np.ndarray:
+    """Elements that each two of the sets have in common."""
+    owner = np.repeat(np.arange(len(sets)), [len(s) for s in sets])
+    _, element, times = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+    shared = times[element] > 1
+    owner, element = owner[shared], (np.cumsum(times > 1) - 1)[element[shared]]
+    out = np.zeros((len(sets), len(sets)), np.float32)
+    order = np.argsort(element, kind="stable")
+    owner, element = owner[order], element[order]
+    width = 4096
+    for lo in range(0, int(element[-1]) + 1 if len(element) else 0, width):
+        i, j = np.searchsorted(element, [lo, lo + width])
+        held = np.zeros((len(sets), width), np.float32)
+        held[owner[i:j], element[i:j] - lo] = 1
+        out += held @ held.T
+    np.fill_diagonal(out, [len(s) for s in sets])
+    return out
+
+
+def tile_pairs(apart: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """Pairs a, b of one block and two components that are as alike as asked (sure), or may be (not sure).
+
+    A block's minors and majors are dealt into tiles, and each two tiles with a minor
+    one among them meet in one group: all such pairs are compared, none becomes a row
+    unless it is alike. Sets of which all is drawn are compared exactly; of others,
+    what is drawn leaves out pairs six standard deviations below the threshold.
+    """
+    tiles = lambda n: F.ceil(F.col(n) / TILE).cast("long")
+    place = F.pmod(F.xxhash64("node", "key"), F.greatest(F.lit(1), F.when(F.col("minor"), F.col("m")).otherwise(F.col("j"))))
+    rows = apart.withColumns({"m": tiles("minors"), "j": tiles("majors")}).withColumn("own", F.when(F.col("minor"), place).otherwise(F.col("m") + place))
+    met = F.when(F.col("minor"), F.expr("sequence(0L, m + j - 1)")).otherwise(F.expr("sequence(0L, m - 1)"))
+    rows = rows.withColumn("met", F.explode(met)).select("key", "node", "component", "own", F.least("own", "met").alias("lo"), F.greatest("own", "met").alias("hi"))
+    rows = rows.join(sets, "node")
+
+    def compare(group: pa.Table) -> pa.Table:
+        column = lambda name: group.column(name).to_numpy()
+        node, component, own, size, shift = map(column, ("node", "component", "own", "size", "shift"))
+        k = int(shift.max())
+        drawn = [x.values.to_numpy().view("<u8") for x in group.column("drawn")]
+        drawn = [x[x <= np.uint64((2**64 - 1) >> k)] for x in drawn]
+        common = common_counts(drawn)
+        n = size if k == 0 else np.array([len(x) for x in drawn])
+        share = common / np.maximum(n[:, None] + n[None, :] - common, 1)
+        least = similarity
+        if k:
+            least = similarity - 6 * np.sqrt(similarity * (1 - similarity) / np.maximum(n[:, None] + n[None, :] - common, 1))
+        alike = (share >= least) & (component[:, None] != component[None, :]) & (node[:, None] < node[None, :])
+        lo, hi = group.column("lo")[0].as_py(), group.column("hi")[0].as_py()
+        if lo != hi:
+            alike &= own[:, None] != own[None, :]
+        a, b = np.nonzero(alike)
+        return pa.table({"a": pa.array(node[a], pa.int64()), "b": pa.array(node[b], pa.int64()), "sure": pa.array(np.full(len(a), k == 0))})
+
+    return rows.groupBy("key", "lo", "hi").applyInArrow(compare, "a long, b long, sure boolean")
+
+
 def near_duplicates(
     docs: DataFrame,
     id_col: str = "doc_id",
@@ -209,9 +301,10 @@ def near_duplicates(
     Documents are linked if the Jaccard similarity of their sets of word shingles is
     ``similarity`` or more: the long fingerprint's Hamming distance settles pairs well
     above or below it, and the sets themselves the others. A pair at the threshold is met
-    with a probability of about 1 - exp(-UNTOUCHED), one more alike with a higher one. Documents that share a
-    section are linked through one of them, another one for each section, so the pairs
-    compared grow with the documents and not with the square of a group.
+    with a probability of about 1 - exp(-UNTOUCHED), one more alike with a higher one. All documents
+    that share a section are compared: pair by pair up to BLOCK; in larger blocks with one
+    of them, another one for each section, and then in tiles each two that this has left
+    in different components.
 
     component_id is the smallest identifier reachable. Texts without words, null among
     them, are one group; fewer words than ``words`` are one shingle. Repeated rows are
@@ -240,8 +333,12 @@ def near_duplicates(
     keyed = nodes.select("node", F.explode("keys").alias("key"))
     # the least of node ^ key draws another document for each section, and gives it back
     centre = keyed.groupBy("key").agg(F.min(F.expr("node ^ key")).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    centre = materialise(centre.select("key", F.expr("v ^ key").alias("a")), "centres")
-    pairs = keyed.join(centre, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    centre = materialise(centre.select("key", F.expr("v ^ key").alias("a"), "n"), "centres")
+    stars = keyed.join(centre, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
+    # a small block's other pairs, too: those of two members that are not its centre
+    small = materialise(keyed.join(centre.where(F.col("n").between(3, BLOCK)), "key").where("node <> a").select("key", "node"), "small")
+    others = small.alias("x").join(small.alias("y"), F.expr("x.key = y.key and x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+    pairs = stars.unionByName(others)
     pairs = materialise(pairs.distinct(), "pairs")
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fps = nodes.select("node", "fp")
@@ -254,15 +351,17 @@ def near_duplicates(
     )
     compared = materialise(compared, "compared")
     sure, open_ = compared.where(F.col("d") <= float(angle - slack)), compared.where(F.col("d") > float(angle - slack))
-    ends = open_.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(nodes.select("node", "one"), "node")
-    ends = materialise(ends.select("node", "one.h", F.col("one.id").alias("i")), "ends")
-    if stored_bytes(docs.sparkSession, ends) <= BROADCAST_BYTES:
-        ends = F.broadcast(ends)
-    of_ends = texts.select(F.col("id.h").alias("h"), F.col("id.id").alias("i"), "text").join(
-        ends.withColumnsRenamed({"h": "h2", "i": "i2"}), F.expr("h = h2 and i <=> i2")
-    )
-    of_ends = materialise(of_ends.select("node", "text").dropDuplicates(["node"]), "texts")
-    both = open_.select("a", "b").join(of_ends.toDF("a", "text_a"), "a").join(of_ends.toDF("b", "text_b"), "b")
+
+    def texts_of(wanted: DataFrame) -> DataFrame:
+        """node, text of the nodes ``wanted``, one text each."""
+        ends = wanted.join(nodes.select("node", "one"), "node")
+        ends = materialise(ends.select("node", "one.h", F.col("one.id").alias("i")), "ends")
+        if stored_bytes(docs.sparkSession, ends) <= BROADCAST_BYTES:
+            ends = F.broadcast(ends)
+        found = texts.select(F.col("id.h").alias("h"), F.col("id.id").alias("i"), "text").join(
+            ends.withColumnsRenamed({"h": "h2", "i": "i2"}), F.expr("h = h2 and i <=> i2")
+        )
+        return materialise(found.select("node", "text").dropDuplicates(["node"]), "texts")
 
     def exact(batches):
         for batch in batches:
@@ -274,9 +373,22 @@ def near_duplicates(
                     alike.append(common >= similarity * (len(x) + len(y) - common))
                 yield part.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
 
-    verified = both.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
-    links = sure.select("a", "b").unionByName(verified)
+    def verified(open_: DataFrame) -> DataFrame:
+        """Those of the pairs a, b whose sets are as alike as asked."""
+        of_ends = texts_of(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct())
+        both = open_.select("a", "b").join(of_ends.toDF("a", "text_a"), "a").join(of_ends.toDF("b", "text_b"), "b")
+        return both.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
+
+    links = materialise(sure.select("a", "b").unionByName(verified(open_)), "links")
     found = connected_components(links)
+    apart = blocks_apart(keyed, centre.where(F.col("n") > BLOCK), found)
+    if not apart.isEmpty():
+        sets = materialise(drawn_sets(texts_of(apart.select("node").distinct()), words, seed), "sets")
+        tiled = materialise(tile_pairs(apart, sets, similarity), "tiled")
+        more = tiled.where("sure").select("a", "b").distinct()
+        if not (unsure := tiled.where("not sure").select("a", "b").distinct()).isEmpty():
+            more = more.unionByName(verified(unsure))
+        found = connected_components(links.unionByName(more))
     parts = materialise(
         nodes.select("node", "low", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "parts"
     )

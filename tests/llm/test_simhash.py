@@ -107,3 +107,25 @@ def test_near_duplicates_odd_cases(spark):
     blank = {i for i, t, *_ in rows if i is not None and not (t or "").split()}
     assert len({by[i] for i in blank}) == 1 and by[12] == by[13] == 0 and by[14] == 1 and by[3] == 3
     assert simhash.near_duplicates(empty(spark)).collect() == [] and simhash.simhash_groups(empty(spark)).collect() == []
+
+
+@pytest.mark.parametrize(("block", "tile", "drawn"), [(32, 256, 1024), (4, 20, 64)])
+def test_near_duplicates_in_a_family_of_variants(spark, monkeypatch, block, tile, drawn):
+    """Hundreds of variants of one text, most of them strangers: a section's centre is seldom like a member's partner."""
+    for name, value in (("BLOCK", block), ("TILE", tile), ("DRAWN", drawn)):
+        monkeypatch.setattr(simhash, name, value)
+    rng = random.Random(5)
+    base = words(rng, 204).split()
+    texts = []
+    for edits in [5] * 300 + [1] * 10:
+        variant = list(base)
+        for at in rng.sample(range(len(base)), edits):
+            variant[at] = f"new{rng.random()}"
+        texts.append(" ".join(variant))
+    sets = [{tuple(w[i : i + 5]) for i in range(len(w) - 4)} for w in (t.split() for t in texts)]
+    links = [(i, j) for i in range(len(sets)) for j in range(i) if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8]
+    want = components(range(len(texts)), links)
+    rows = [(i, t, "en", "s", 0) for i, t in enumerate(texts)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()}
+    assert len(links) > 60 and all(want[i] == want[got[i]] for i in got)
+    assert sum(got[i] != got[j] for i, j in links) <= 0.02 * len(links)
