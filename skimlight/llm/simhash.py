@@ -12,8 +12,8 @@ others; the second is linear in the members.
 that are 0.8 alike differ in about ten of 64 bits, which no split into blocks covers.
 There the shingles themselves are split: into sections by their hash, each with a
 SimHash of its own, so many that a close pair leaves some sections untouched. Equal
-section fingerprints are the blocks; then the Hamming distance of a long fingerprint is
-verified, and near the threshold the similarity itself.
+section fingerprints are the blocks; then the similarity itself is verified, but where
+the Hamming distance of long fingerprints of large sets is far from the threshold's.
 """
 
 from __future__ import annotations
@@ -156,6 +156,8 @@ def simhash_groups(
 
 #: Bits of the long fingerprint, and how many sections of a pair at the threshold shall remain untouched.
 LONG_BITS, UNTOUCHED = 512, 5
+#: Sets below this size are compared themselves; of larger pairs those within so many standard deviations of the threshold.
+EXACT_BELOW, MARGIN = 300, 6
 #: Ends of open pairs up to this size on disk are broadcast to the texts; beyond it both are shuffled.
 BROADCAST_BYTES = 4 << 20
 
@@ -299,8 +301,9 @@ def near_duplicates(
     """One row per input row: ``id_col``, component_id, group_size.
 
     Documents are linked if the Jaccard similarity of their sets of word shingles is
-    ``similarity`` or more: the long fingerprint's Hamming distance settles pairs well
-    above or below it, and the sets themselves the others. A pair at the threshold is met
+    ``similarity`` or more. The sets themselves are compared, but for pairs of EXACT_BELOW
+    shingles or more whose long fingerprints' Hamming distance is MARGIN standard
+    deviations above or below that of a pair of their sizes at the threshold. A pair at the threshold is met
     with a probability of about 1 - exp(-UNTOUCHED), one more alike with a higher one. All documents
     that share a section are compared: pair by pair up to BLOCK; in larger blocks with one
     of them, another one for each section, and then in tiles each two that this has left
@@ -314,20 +317,23 @@ def near_duplicates(
     def run(batches):
         for batch in batches:
             for part in slices(batch):
-                fps, keys = [], []
+                fps, keys, sizes = [], [], []
                 for text in part.column(1).to_pylist():
                     h = np.unique(shingle_hashes(text, words, seed))
+                    sizes.append(len(h))
                     fps.append(long_fingerprint(h).view(np.int64))
                     keys.append(section_keys(h, similarity).view(np.int64) if len(h) else np.zeros(0, np.int64))
                 longs = pa.list_(pa.int64())
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fps, longs), pa.array(keys, longs)], names=["id", "fp", "keys"])
+                columns = [pa.array(fps, longs), pa.array(keys, longs), pa.array(sizes, pa.int64())]
+                yield pa.RecordBatch.from_arrays([part.column(0), *columns], names=["id", "fp", "keys", "size"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     texts = docs.select(F.struct(F.col(id_col).alias("id"), F.xxhash64(text_col).alias("h")).alias("id"), F.col(text_col).cast("binary").alias("text"))
-    rows = texts.mapInArrow(run, f"id struct<id: {kind}, h: bigint>, fp array<long>, keys array<long>")
+    rows = texts.mapInArrow(run, f"id struct<id: {kind}, h: bigint>, fp array<long>, keys array<long>, size long")
     rows = materialise(rows.withColumn("node", F.xxhash64("fp")), "sections")
     nodes = rows.groupBy("node").agg(
-        F.min("id").alias("one"), F.min("id.id").alias("low"), F.count(F.lit(1)).alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys")
+        F.min("id").alias("one"), F.min("id.id").alias("low"), F.count(F.lit(1)).alias("n"), F.any_value("fp").alias("fp"), F.any_value("keys").alias("keys"),
+        F.any_value("size").alias("size"),
     )
     nodes = materialise(nodes, "nodes")
     keyed = nodes.select("node", F.explode("keys").alias("key"))
@@ -341,16 +347,19 @@ def near_duplicates(
     pairs = stars.unionByName(others)
     pairs = materialise(pairs.distinct(), "pairs")
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    fps = nodes.select("node", "fp")
-    # the share of bits that differ is the angle between two sets, which this similarity gives for sets of one size
-    angle = np.arccos(2 * similarity / (1 + similarity)) / np.pi
-    slack = 2.5 * np.sqrt(angle * (1 - angle) / LONG_BITS)
+    fps = nodes.select("node", "fp", "size")
+    # the share of bits that differ is the angle between two sets, which their sizes give for a pair at the threshold
+    cosine = similarity / (1 + similarity) * (F.col("size_a") + F.col("size_b")) / F.sqrt(F.col("size_a") * F.col("size_b"))
+    angle = F.acos(F.least(cosine, F.lit(1.0))) / np.pi
+    slack = MARGIN * F.sqrt(F.col("angle") * (1 - F.col("angle")) / LONG_BITS)
+    least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
     compared = (
-        pairs.join(fps.toDF("a", "fp_a"), "a").join(fps.toDF("b", "fp_b"), "b")
-        .select("a", "b", (distance / LONG_BITS).alias("d")).where(F.col("d") <= float(angle + slack))
+        pairs.join(fps.toDF("a", "fp_a", "size_a"), "a").join(fps.toDF("b", "fp_b", "size_b"), "b").where(least / most >= similarity)
+        .withColumns({"small": least < EXACT_BELOW, "angle": angle, "d": distance / LONG_BITS}).withColumn("slack", slack)
+        .where("small or d <= angle + slack").select("a", "b", F.expr("not small and d < angle - slack").alias("sure"))
     )
     compared = materialise(compared, "compared")
-    sure, open_ = compared.where(F.col("d") <= float(angle - slack)), compared.where(F.col("d") > float(angle - slack))
+    sure, open_ = compared.where("sure"), compared.where("not sure")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """node, text of the nodes ``wanted``, one text each."""
@@ -361,23 +370,21 @@ def near_duplicates(
         found = texts.select(F.col("id.h").alias("h"), F.col("id.id").alias("i"), "text").join(
             ends.withColumnsRenamed({"h": "h2", "i": "i2"}), F.expr("h = h2 and i <=> i2")
         )
-        return materialise(found.select("node", "text").dropDuplicates(["node"]), "texts")
+        return found.select("node", "text").dropDuplicates(["node"])
 
-    def exact(batches):
+    def shingle_sets(batches):
         for batch in batches:
-            for part in slices(batch, 50):
-                alike = []
-                for x, y in zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True):
-                    x, y = (np.unique(shingle_hashes(t, words, seed)) for t in (x, y))
-                    common = len(np.intersect1d(x, y, assume_unique=True))
-                    alike.append(common >= similarity * (len(x) + len(y) - common))
-                yield part.select(["a", "b"]).filter(pa.array(alike, pa.bool_()))
+            for part in slices(batch):
+                sets = [np.unique(shingle_hashes(t, words, seed)).view(np.int64) for t in part.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "s"])
 
     def verified(open_: DataFrame) -> DataFrame:
         """Those of the pairs a, b whose sets are as alike as asked."""
         of_ends = texts_of(open_.select(F.explode(F.array("a", "b")).alias("node")).distinct())
-        both = open_.select("a", "b").join(of_ends.toDF("a", "text_a"), "a").join(of_ends.toDF("b", "text_b"), "b")
-        return both.select("a", "b", "text_a", "text_b").mapInArrow(exact, "a long, b long")
+        of_ends = materialise(of_ends.mapInArrow(shingle_sets, "node long, s array<long>"), "sets")
+        both = open_.select("a", "b").join(of_ends.toDF("a", "s_a"), "a").join(of_ends.toDF("b", "s_b"), "b")
+        both = both.select("a", "b", F.expr("size(s_a) + size(s_b)").alias("n"), F.expr("size(array_intersect(s_a, s_b))").alias("common"))
+        return both.where(F.expr("common / (n - common)") >= similarity).select("a", "b")
 
     links = materialise(sure.select("a", "b").unionByName(verified(open_)), "links")
     found = connected_components(links)

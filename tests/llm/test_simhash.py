@@ -129,3 +129,17 @@ def test_near_duplicates_in_a_family_of_variants(spark, monkeypatch, block, tile
     got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()}
     assert len(links) > 60 and all(want[i] == want[got[i]] for i in got)
     assert sum(got[i] != got[j] for i, j in links) <= 0.02 * len(links)
+
+
+def test_near_duplicates_of_small_sets_are_exact(spark):
+    """Pairs with 4 of 5 shingles in common are linked, pairs with 7 of 9 are not: small sets leave the angle formula."""
+    rng = random.Random(6)
+    rows = []
+    for i in range(80):
+        text = words(rng, 8)
+        rows += [(4 * i, text, "en", "s", 0), (4 * i + 1, f"{text} more{i}", "en", "s", 0)]
+        text = words(rng, 12)
+        rows += [(4 * i + 2, text, "en", "s", 0), (4 * i + 3, " ".join([*text.split()[:11], f"other{i}"]), "en", "s", 0)]
+    got = {r.doc_id: r.component_id for r in simhash.near_duplicates(table(spark, rows)).collect()}
+    met = sum(got[4 * i + 1] == 4 * i for i in range(80))
+    assert met >= 76 and all(got[4 * i + 3] == 4 * i + 3 for i in range(80))
