@@ -106,10 +106,22 @@ def prefix_sums(rows: DataFrame, group: list[str], place: str, value: str, ties:
     )
 
 
-def slices(batch, rows: int = 250):
-    """Parts of an Arrow batch, so that few texts are Python objects at a time."""
-    for lo in range(0, batch.num_rows, rows):
-        yield batch.slice(lo, rows)
+def slices(batch, rows: int = 250, text: int = 1, size: int = 8 << 20):
+    """Parts of an Arrow batch of at most ``rows`` rows, and of ``size`` bytes of column ``text`` unless one row is longer.
+
+    So few texts are Python objects at a time, however long they are.
+    """
+    import pyarrow.compute as pc
+
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).tolist()
+    lo = held = 0
+    for i, n in enumerate(lengths):
+        if i > lo and (i - lo == rows or held + n > size):
+            yield batch.slice(lo, i - lo)
+            lo, held = i, 0
+        held += n
+    if lo < len(lengths):
+        yield batch.slice(lo)
 
 
 def worker_state() -> dict:

@@ -1,3 +1,6 @@
+import random
+import time
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -77,7 +80,95 @@ def test_odd_tables(spark):
     assert html_extract.extract_main_text(df.limit(0)).collect() == []
 
 
-def test_equal_vectors_are_one_class(spark):
-    df = spark.createDataFrame(host_pages(5), "page_id long, url string, html string")
-    row = html_extract.host_templates(df, "url", "html").first()
-    assert row.host == "a.example" and len(row.texts) == 2 and row.root is not None
+PAGES = "page_id long, url string, html string"
+
+
+def random_host(rng, host, n):
+    """Pages of one made template, and the texts that extraction should give: fixed texts in and around the article drop out."""
+    marked, top, share = rng.random() < 0.5, rng.random() < 0.7, rng.random() < 0.7
+    kind = rng.choice(["article", "main"]) if marked else "div"
+    out = []
+    for i in range(n):
+        say = lambda k: " ".join(f"w{rng.randrange(10**6)}" for _ in range(k))
+        blocks = [say(6), *(say(rng.randrange(15, 60)) for _ in range(rng.randrange(1, 5)))]
+        body = f"<h1>{blocks[0]}</h1><div class=intro><p>{blocks[1]}</p></div><div class=body>" + "".join(f"<p>{b}</p>" for b in blocks[2:]) + "</div>"
+        share_line = "<p>Tell your friends about us</p>" if share else ""
+        head = "<div class=top><p>Welcome to this place</p></div>" if top else ""
+        out.append((f"http://{host}/{i}", f"<html><body>{head}<{kind} class=story>{body}{share_line}</{kind}><footer>{say(5)}</footer></body></html>", "\n\n".join(blocks)))
+    return out
+
+
+def brute_templates(rows):
+    """Occurrence vectors as they are, pages independent if all minhashes differ; the same deduction."""
+    out = {}
+    for host in {u.split("/")[2] for _, u, _ in rows}:
+        pages = [html_extract.page_tokens(h) for _, u, h in rows if u.split("/")[2] == host]
+        seen = {}
+        for p, (found, marks) in enumerate(pages):
+            for token, kind, up, n, pos, chars, flags in found:
+                seen.setdefault((token, kind), []).append((p, n, pos, chars, flags, up, marks))
+        common = {k: v for k, v in seen.items() if 2 * len(v) >= len(pages)}
+        vector = {k: tuple((p, n) for p, n, *_ in v) for k, v in common.items()}
+        ordered = {}
+        for v in set(vector.values()):
+            members = [k for k in common if vector[k] == v]
+            lists = {tuple(k for _, k in sorted((x[2], k) for k in members for x in common[k] if x[0] == p)) for p, _ in v}
+            ordered[v] = len(lists) == 1
+        alone = lambda v: min(len({x[6][i] for x in v}) for i in range(html_extract.MINHASHES))
+        out[host] = html_extract.deduce([
+            {"token": k[0], "kind": k[1], "up": v[0][5], "on": len(v), "vector": vector[k], "chars": sum(x[3] for x in v), "flags": max(x[4] for x in v),
+             "once": all(x[1] == 1 for x in v), "ordered": ordered[vector[k]], "alone": alone(v), "hosts": alone(common[0, 0])}
+            for k, v in common.items()
+        ])
+    return {h: (r, sorted(t)) for h, (r, t) in out.items()}
+
+
+def test_random_hosts(spark):
+    rng = random.Random(5)
+    made = [x for h in range(12) for x in random_host(rng, f"h{h}.example", rng.choice([2, 3, 5, 9]))]
+    rows = [(i, u, h) for i, (u, h, _) in enumerate(made)]
+    df = spark.createDataFrame(rows, PAGES).repartition(3)
+    got = {r.host: (r.root, sorted(r.texts)) for r in html_extract.host_templates(df, "url", "html").collect()}
+    assert got == brute_templates(rows)
+    text = {r.page_id: r.text for r in html_extract.extract_main_text(df).collect()}
+    assert [text[i] for i in range(len(made))] == [t for *_, t in made]
+    # each page twice gives the same texts
+    again = html_extract.extract_main_text(df.union(df)).collect()
+    assert len(again) == 2 * len(made) and all(r.text == text[r.page_id] for r in again)
+
+
+def test_copies_are_no_template(spark):
+    """Near copies of one article on a small host lose neither title nor paragraphs, whatever surrounds them."""
+    rng = random.Random(6)
+    words = [f"w{rng.randrange(10**6)}" for _ in range(80)]
+    rows = []
+    for i in range(3):
+        own = [*words]
+        own[70 + i] = "changed"
+        rows.append((i, f"http://c.example/{i}", f"<body><nav>{i}</nav><article><h1>Title here</h1><p>{' '.join(words[:60])}</p><p>{' '.join(own[60:])}</p></article></body>"))
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert all(r.text.startswith("Title here\n\n" + " ".join(words[:60])) for r in got)
+
+
+def test_out_of_order_is_no_template(spark):
+    """Two texts on all pages that change places form no valid class, so they stay."""
+    rng = random.Random(7)
+    rows = []
+    for i in range(6):
+        a, b = "<p>First line for all</p>", "<p>Second line for all</p>"
+        own = " ".join(f"w{rng.randrange(10**6)}" for _ in range(60))
+        rows.append((i, f"http://o.example/{i}", f"<article><p>{own}</p>{a + b if i % 2 else b + a}</article>"))
+    got = html_extract.extract_main_text(spark.createDataFrame(rows, PAGES)).collect()
+    assert all("First line for all" in r.text and "Second line for all" in r.text for r in got)
+
+
+@pytest.mark.parametrize("inner", ['<h2 id="discussion">T</h2>', '<section id="related-work">T</section>', '<p class="notice">T</p>', '<section class="login-flow">T</section>', "<math>T</math>"])
+def test_names_inside_an_article_take_nothing(inner):
+    assert main_text(f"<article><p>a</p>{inner}<p>b</p></article>") in ("a\n\nT\n\nb", "aTb")
+
+
+@pytest.mark.parametrize("source", ["<div>" * 16_000 + "x", "<div>x" * 16_000, "<span>" * 16_000 + "<li></li>" * 16_000, "<div>" * 16_000 + "</span>" * 16_000])
+def test_deep_pages_are_linear(source):
+    began = time.perf_counter()
+    main_text(source)
+    assert time.perf_counter() - began < 2  # a quadratic reading takes over 8 s
