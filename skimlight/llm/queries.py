@@ -160,12 +160,12 @@ ORACLES: dict[str, str] = {
         select page_id, host, path, rule, coalesce(v, 'allow') as verdict from f where n = 1""",
     "op5_topk": r"""
         with v as (
-            select vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
+            select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(64 * cast(x as double))) as e from embeddings
             where embedding is not null and list_bool_and(list_transform(embedding, lambda x: x is not null and isfinite(x)))),
         s as (
-            select q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
-            from v q join v c on q.vec_id % 20 = 0 and q.vec_id <> c.vec_id),
-        r as (select *, row_number() over (partition by query_id order by score desc, vec_id) as n from s)
+            select q.rid, q.vec_id as query_id, c.vec_id, cast(list_dot_product(q.e, c.e) as bigint) as score
+            from v q join v c on q.vec_id % 20 = 0 and q.rid <> c.rid and len(q.e) = len(c.e)),
+        r as (select *, row_number() over (partition by rid order by score desc, vec_id) as n from s)
         select query_id, cast(n as int) as "rank", vec_id, score from r where n <= 20""",
     "op9_mixing": MIXING_SQL,
 }
