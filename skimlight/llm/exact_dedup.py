@@ -1,12 +1,16 @@
-"""Exact dedup by a tree-merge of digest runs (DataFrame functions only).
+"""Exact dedup by a tree-merge of sorted digest runs (DataFrame functions only).
 
-Every row is reduced to (doc_id, digests). Rows are dealt over ``fanout ** k``
-runs by a hash of doc_id; a run keeps one entry per digest, ordered by digest,
-with its smallest identifier and count. Runs are then merged ``fanout`` at a
-time, round by round, until one is left; each round is one shuffle of the
-surviving entries on (run, digest), combined before it leaves a task. The
-smallest identifiers go back down the same tree, so the rows of one very common
-text stay spread over all runs and no task holds a whole group of copies.
+Every row is reduced to its digests, its identifier and its number. Rows are dealt
+over ``fanout ** levels`` runs; a run is sorted by digest and holds one entry per
+digest, with the smallest identifier, the count, and the run. Then runs exchange
+pieces in binomial rounds: in a round, runs whose numbers differ in one digit (to
+the base ``fanout``) cut their digests into as many ranges, each takes one range
+from all of them, and merges the sorted pieces, keeping the smallest identifier of
+equal digests. After ``levels`` rounds each run holds one range of all digests.
+
+A text that makes up a third of all rows is one entry in each run from the start,
+so no task ever holds a group of copies. An entry remembers the runs it came from
+(at most as many as there are); with these the result goes straight back to them.
 
 Entries are equal only if SHA-256, MD5 and the length in code points all agree:
 that is the verification at each level; texts themselves never move.
@@ -14,12 +18,14 @@ that is the verification at each level; texts themselves never move.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .util import SPACE, materialise
 
 KEY = ["sha", "md5", "chars"]
+#: Bits of a digest that place it in a range.
+RANGE_BITS = 28
 
 
 def normalised(text: str | Column) -> Column:
@@ -29,27 +35,30 @@ def normalised(text: str | Column) -> Column:
 
 
 def runs_for(spark, fanout: int) -> int:
-    """Levels of the tree: enough leaves for four per shuffle partition, two levels at least."""
+    """Rounds of the tree: enough runs for four per shuffle partition, two rounds at least."""
     want, levels = 4 * int(spark.conf.get("spark.sql.shuffle.partitions")), 2
     while fanout**levels < want:
         levels += 1
     return levels
 
 
-def merge_tree(entries: DataFrame, levels: int, fanout: int) -> DataFrame:
-    """(run, key) -> smallest identifier and size over all runs, for each (run, key) of the leaves.
+def sorted_run(entries: DataFrame, *aggregates: Column) -> DataFrame:
+    """Entries brought to their runs, sorted there by digest, and those of one digest merged."""
+    return entries.repartition("run").sortWithinPartitions("run", *KEY).groupBy("run", *KEY).agg(*aggregates)
+
+
+def merge_round(entries: DataFrame, level: int, fanout: int) -> DataFrame:
+    """Exchange and merge among the runs whose numbers differ in digit ``level - 1`` only.
 
-    ``entries``: one row per input row, with run, KEY and id.
+    entries: run, KEY, low, n, runs. The upper digits of a run's number stay, the lower
+    ``level`` digits become the number of the digest's range.
     """
-    up = [entries.groupBy("run", *KEY).agg(F.min("id").alias("low"), F.count(F.lit(1)).alias("n"))]
-    for _ in range(levels):
-        merged = up[-1].withColumn("run", F.floor(F.col("run") / fanout))
-        up.append(merged.groupBy("run", *KEY).agg(F.min("low").alias("low"), F.sum("n").alias("n")))
-    down = up[-1]
-    for level in reversed(range(levels)):
-        below = up[level].select("run", *KEY).withColumn("parent", F.floor(F.col("run") / fanout))
-        down = below.join(down.withColumnRenamed("run", "parent"), ["parent", *KEY]).select("run", *KEY, "low", "n")
-    return down
+    width = fanout**level
+    top = F.conv(F.substring(F.hex("sha"), 1, RANGE_BITS // 4), 16, 10).cast("long")
+    place = F.floor(F.col("run") / width) * width + F.shiftright(top * width, RANGE_BITS)
+    return sorted_run(
+        entries.withColumn("run", place), F.min("low").alias("low"), F.sum("n").alias("n"), F.flatten(F.collect_list("runs")).alias("runs")
+    )
 
 
 def exact_dedup(
@@ -60,31 +69,29 @@ def exact_dedup(
     Texts are equal if identical after each run of ASCII white space becomes one
     space; null counts as empty. The row with the smallest identifier stays. Null
     identifiers are larger than all others; of rows that repeat an identifier and
-    text exactly one stays. An empty table gives an empty result. Other columns are
-    not read, whatever their names.
+    text exactly one stays. Texts are read whole, however long. An empty table gives
+    an empty result. Other columns are not read, whatever their names.
     """
-    spark = docs.sparkSession
-    levels = levels or runs_for(spark, fanout)
+    levels = levels or runs_for(docs.sparkSession, fanout)
     text = normalised(text_col)
     rows = docs.select(
         F.col(id_col).alias("id"),
-        F.sha2(text, 256).alias("sha"),
+        F.unhex(F.sha2(text, 256)).alias("sha"),
         F.unhex(F.md5(text)).alias("md5"),
         F.length(text).alias("chars"),
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(fanout**levels)).alias("run"),
-    ).withColumn("sha", F.unhex("sha"))
-    rows = materialise(rows, "digests")
-    found = merge_tree(rows, levels, fanout)
-    in_run = Window.partitionBy("run", *KEY).orderBy(F.col("id").asc_nulls_last())
-    return (
-        rows.withColumn("place", F.row_number().over(in_run))
-        .join(found, ["run", *KEY])
-        .select(
-            F.col("id").alias(id_col),
-            F.col("low").alias("keep_id"),
-            F.col("n").alias("group_size"),
-            # where all identifiers are null they share one run, as one hash value
-            ((F.col("place") == 1) & F.col("id").eqNullSafe(F.col("low"))).alias("kept"),
-            F.lower(F.hex("sha")).alias("text_sha256"),
-        )
+        F.monotonically_increasing_id().alias("row"),
+    )
+    # stored, so that a row's number and run are the same whenever they are read
+    rows = materialise(rows, "digests").withColumn("run", F.pmod(F.xxhash64("row"), F.lit(fanout**levels)))
+    smallest = F.struct(F.col("id").isNull().alias("without"), "id", "row")
+    entries = sorted_run(rows, F.min(smallest).alias("low"), F.count(F.lit(1)).alias("n")).withColumn("runs", F.array("run"))
+    for level in range(1, levels + 1):
+        entries = merge_round(entries, level, fanout)
+    found = entries.select(*KEY, "low", "n", F.explode("runs").alias("run"))
+    return rows.join(found, ["run", *KEY]).select(
+        F.col("id").alias(id_col),
+        F.col("low.id").alias("keep_id"),
+        F.col("n").alias("group_size"),
+        (F.col("row") == F.col("low.row")).alias("kept"),
+        F.lower(F.hex("sha")).alias("text_sha256"),
     )
