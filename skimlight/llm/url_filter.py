@@ -15,6 +15,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .util import materialise
+
 #: Bits set per key, all in one 64-bit block, and bits of the filter per key.
 BITS, BITS_PER_KEY = 4, 16
 #: Most blocks of a filter (8 MB). Beyond it more keys pass; the join stays exact.
@@ -73,8 +75,10 @@ def judge_urls(
     them are left out. Of fitting rules the longest (host and path together) wins, of
     these the one with the longer host, of equal rules 'block'. Without a fitting rule
     ``rule`` is null and the verdict ``default``. Null URLs, and those without ``://``,
-    have empty host and path and fit no rule. Rows that repeat an id are judged each.
-    Empty tables give empty results; other columns are not read.
+    have empty host and path and fit no rule. Rows that repeat an id are judged each;
+    URLs of any length are read whole. The filter grows with the rules up to MOST_BLOCKS
+    blocks; with more rules more keys pass it, and the join stays exact. Pages without a
+    possible hit are never shuffled. Empty tables give empty results; other columns are not read.
     """
     spark = pages.sparkSession
     listed = rules.where("host is not null and path is not null and verdict is not null").select(
@@ -117,14 +121,15 @@ def judge_urls(
         rows.withColumn("keys", keys)
         .withColumn("maybe", possible(F.transform("keys", lambda k: F.xxhash64(k))))
         .withColumn("keys", F.filter("keys", lambda k, i: F.get("maybe", i)))
+        .select("row", "id", "host", "path", "keys")
     )
-    return (
-        asked.select("row", "id", "host", "path", F.explode_outer("keys").alias("key"))
-        .join(listed, "key", "left")
-        .groupBy("row", "id", "host", "path")
-        .agg(F.max("best").alias("best"))
-        .select(
-            F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
-            F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
-        )
+    asked = materialise(asked, "asked")
+    hits = (
+        asked.where("size(keys) > 0").select("row", "id", "host", "path", F.explode("keys").alias("key"))
+        .join(listed, "key", "left").groupBy("row", "id", "host", "path").agg(F.max("best").alias("best"))
+    )
+    others = asked.where("size(keys) = 0").select("row", "id", "host", "path", F.lit(None).cast(hits.schema["best"].dataType).alias("best"))
+    return hits.unionByName(others).select(
+        F.col("id").alias(id_col), "host", "path", F.col("best.rule").alias("rule"),
+        F.coalesce("best.verdict", F.lit(default)).alias("verdict"),
     )
