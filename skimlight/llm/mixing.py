@@ -45,17 +45,21 @@ def share_out(children: DataFrame, parent: list[str], child: str) -> DataFrame:
 
     Whole numbers throughout: children are taken in the order supply / weight; one
     whose supply is within its share of what is left gets all of it, the others get
-    the rounded-down shares of the rest.
+    the rounded-down shares of the rest. Products of tokens and weights are decimals of
+    38 digits, so none overflows; the order compares whole quotients, then remainders
+    (exact for weights below 2^26), then names. A parent without children has no rows; supplies are not null.
     """
-    order = Window.partitionBy(*parent).orderBy(F.col("supply") / F.col("weight"), child)
+    quotient = [F.expr("supply div weight"), (F.col("supply") % F.col("weight")) / F.col("weight"), F.col(child)]
+    order = Window.partitionBy(*parent).orderBy(*quotient)
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
     whole = Window.partitionBy(*parent)
+    wide = lambda c: F.col(c).cast("decimal(19,0)")
     left = children.select(
         "*",
         (F.col("budget") - F.coalesce(F.sum("supply").over(before), F.lit(0))).alias("money"),
         F.sum("weight").over(after).alias("rest"),
-    ).withColumn("full", F.col("supply") * F.col("rest") <= F.col("weight") * F.col("money"))
+    ).withColumn("full", wide("supply") * wide("rest") <= wide("weight") * wide("money"))
     short = F.when(~F.col("full"), F.struct(F.col("money"), F.col("rest")))
     # money / rest falls short at the first child that is not full; that one sets the price
     return (
@@ -63,7 +67,7 @@ def share_out(children: DataFrame, parent: list[str], child: str) -> DataFrame:
         .withColumn(
             "quota",
             F.when(F.col("full"), F.col("supply")).otherwise(
-                F.expr("(weight * price.money) div price.rest")
+                F.expr("cast((cast(weight as decimal(19,0)) * cast(price.money as decimal(19,0))) div price.rest as long)")
             ),
         )
         .drop("money", "rest", "full", "price")
@@ -111,15 +115,17 @@ def mix_sources(
     ``other``: those of unnamed nodes (1). The budget is ``budget_tokens``, or
     ``budget_permille`` of all tokens. ``times``: in how many epochs the row is taken,
     at most ``epochs``. Null domain, language or source count as the empty name; null
-    or blank texts have no tokens and are taken with the prefix they fall in. Repeated
-    rows are rows of their own. An empty table gives an empty result. Only the named
-    columns are read.
+    or blank texts have no tokens and are taken with the prefix they fall in. Rows with a null
+    identifier are ordered by a hash of their texts. Repeated rows are rows of their own. Texts
+    are counted whole. An empty table gives an empty result. Only the named columns are read.
     """
     rows = materialise(
         docs.select(
             F.col(id_col).alias("id"), F.coalesce(domain, F.lit("")).alias("domain"),
             F.coalesce(lang_col, F.lit("")).alias("lang"), F.coalesce(source_col, F.lit("")).alias("source"),
             tokens_of(text_col).alias("tokens"),
+            # rows without an identifier are told apart by their texts
+            F.when(F.col(id_col).isNull(), F.md5(F.coalesce(text_col, F.lit("")))).alias("unnamed"),
         ),
         "tokens",
     )
@@ -141,7 +147,7 @@ def mix_sources(
         salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64("id", "tokens"), F.lit(SALTS)).cast("int")
         joined = rows.withColumn("salt", salt).join(salted, [*LEVELS, "salt"]).drop("salt")
-    order = F.md5(F.concat_ws(":", F.lit(seed), "whole", F.col("id").cast("string")))
+    order = F.md5(F.concat_ws(":", F.lit(seed), "whole", F.col("id").cast("string"), "unnamed"))
     placed = prefix_sums(joined.withColumn("place", order), LEVELS, "place", "tokens", ["id", "tokens"])
     return (
         placed.withColumn("times", F.col("whole") + (F.col("upto") <= F.col("left")).cast("long"))

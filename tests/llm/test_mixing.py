@@ -26,9 +26,11 @@ def share(supply, weight, budget):
 
 def brute(rows, permille, epochs, seed=42):
     docs = []
+    texts = {}
     for i, text, lang, source, _ in rows:
         digits = "".join(c for c in (source or "")[-9:] if c.isdigit()) if (source or "")[-1:].isdigit() else ""
         domain = ["web", "books", "forum", "news"][int(digits or 0) % 4]
+        texts[len(docs)] = hashlib.md5((text or "").encode()).hexdigest()
         docs.append((i, domain, lang or "", source or "", len((text or "").split(None)) if (text or "").isascii() else len((text or "").split())))
     leaves = defaultdict(int)
     for _, d, lang, s, n in docs:
@@ -49,10 +51,10 @@ def brute(rows, permille, epochs, seed=42):
     for leaf, q in quota.items():
         n = leaves[leaf]
         whole, left = divmod(q, n) if n else (0, 0)
-        own = [d for d in docs if tuple(d[1:4]) == leaf]
-        md5 = lambda d: hashlib.md5(":".join(str(x) for x in (seed, whole, d[0]) if x is not None).encode()).hexdigest()
+        own = [(d, texts[k]) for k, d in enumerate(docs) if tuple(d[1:4]) == leaf]
+        md5 = lambda d, t: hashlib.md5(f"{seed}:{whole}:{t if d[0] is None else d[0]}".encode()).hexdigest()
         upto = 0
-        for d in sorted(own, key=lambda d: (md5(d), d[0] is not None, d[0] or 0, d[4])):
+        for d, _ in sorted(own, key=lambda x: (md5(*x), x[0][0] is not None, x[0][0] or 0, x[0][4])):
             upto += d[4]
             times = whole + (upto <= left)
             if times and whole + left:
@@ -67,6 +69,15 @@ def test_brute(spark, permille, epochs):
     assert sorted(map(tuple, got.collect()), key=repr) == brute(rows, permille, epochs)
 
 
+def test_products_beyond_a_long(spark):
+    """Tokens times weights exceed 64 bits; shares stay exact."""
+    supply = {"a": 5 * 10**14, "b": 3 * 10**15, "c": 9 * 10**15 + 7}
+    weight = {"a": 200_000, "b": 100_001, "c": 70_003}
+    rows = [(n, supply[n], weight[n], 6 * 10**15) for n in supply]
+    got = mixing.share_out(spark.createDataFrame(rows, "name string, supply long, weight long, budget long"), [], "name").collect()
+    assert {r.name: r.quota for r in got} == share(supply, weight, 6 * 10**15)
+
+
 def test_shortage_goes_to_siblings_first(spark):
     supply = [("web", "en", "a", 10), ("web", "en", "b", 1000), ("web", "de", "c", 1000), ("news", "en", "d", 5)]
     df = spark.createDataFrame(supply, "domain string, lang string, source string, tokens long")
