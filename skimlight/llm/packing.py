@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import re
 import zlib
+from collections import Counter
 from collections.abc import Iterable
 from dataclasses import dataclass
 
@@ -40,7 +41,11 @@ def reduce_by_dominance(counts: list[int]) -> tuple[list[Pattern], list[int]]:
     largest items first, a set with item j dominates all other sets with j when
     - nothing else fits beside j: j alone;
     - an item k fills the rest exactly: j with k;
-    - no two items fit in the rest together: j with the largest k that fits.
+    - no two items fit in the rest together: j with the largest k that fits;
+    - no three fit, and k, the largest that fits, is at least as large as the fullest
+      pair: j with k;
+    - no three fit, k is part of the fullest pair, and no pair of items larger than its
+      partner fits: j with this pair.
     """
     left, capacity, fixed = list(counts), len(counts) - 1, []
 
@@ -52,20 +57,47 @@ def reduce_by_dominance(counts: list[int]) -> tuple[list[Pattern], list[int]]:
 
     for j in range(capacity, 0, -1):
         while left[j]:
-            room = capacity - j
-            own = left[j] - 1  # those beside the item itself
-            fits = [s for s in range(1, room + 1) if (left[s] if s != j else own)]
-            if not fits:
-                fix(left[j], j)
-                continue
-            k = fits[-1]
-            small = 2 * fits[0] if (left[fits[0]] if fits[0] != j else own) > 1 else fits[0] + fits[1] if len(fits) > 1 else capacity + 1
-            if k != room and small <= room:
+            chosen = _dominant(left, j, capacity)
+            if chosen is None:
                 break
-            fix(left[j] // 2 if k == j else min(left[j], left[k]), j, k)
+            used = Counter((j, *chosen))
+            fix(min(left[s] // n for s, n in used.items()), j, *chosen)
     return fixed, left
 
 
+def _dominant(left: list[int], j: int, capacity: int) -> tuple[int, ...] | None:
+    """What to put beside an item of size j, if some set with it dominates all others."""
+    room = capacity - j
+    own = lambda s: left[s] - (s == j)  # noqa: E731 those beside the item itself
+    fits = [s for s in range(1, room + 1) if own(s)]
+    if not fits:
+        return ()
+    k = fits[-1]
+    small = [s for s in fits[:3] for _ in range(min(3, own(s)))][:3]
+    if k == room or len(small) < 2 or small[0] + small[1] > room:
+        return (k,)
+    if len(small) == 3 and sum(small) <= room:
+        return None
+    # two at most fit beside j: the fullest pair, of these the one with the largest item
+    pair, high = (0, 0, 0), len(fits) - 1
+    for b in fits:
+        while high >= 0 and fits[high] + b > room:
+            high -= 1
+        at = high
+        while at >= 0 and fits[at] >= b and own(fits[at]) < 1 + (fits[at] == b):
+            at -= 1
+        if at >= 0 and fits[at] >= b:
+            pair = max(pair, (fits[at] + b, fits[at], b))
+    full, a, b = pair
+    if k >= full:
+        return (k,)
+    larger = [s for s in fits if s > b]
+    two = [s for s in larger[:2] for _ in range(min(2, own(s)))][:2]
+    if a == k and (len(two) < 2 or sum(two) > room):
+        return (a, b)
+    return None
+
+
 def best_fit(counts: list[int]) -> list[Pattern]:
     """Best-fit decreasing, all items of a size and all sequences of a pattern at a time."""
     capacity = len(counts) - 1

@@ -48,8 +48,8 @@ def optimum(sizes, capacity):
 
 def test_reduction_keeps_the_optimum():
     rng = random.Random(1)
-    for _ in range(150):
-        capacity = rng.choice([10, 20])
+    for _ in range(600):
+        capacity = rng.choice([10, 20, 30])
         sizes = [rng.randrange(1, capacity + 1) for _ in range(rng.randrange(1, 9))]
         counts = [sizes.count(s) for s in range(capacity + 1)]
         fixed, left = packing.reduce_by_dominance(counts)
@@ -58,6 +58,23 @@ def test_reduction_keeps_the_optimum():
         check(packing.plan_packing(counts), counts)
 
 
+@pytest.mark.parametrize(
+    ("sizes", "fixed"),
+    [
+        ([5, 3, 2], {(5, 3, 2)}),  # the pair fills the rest better than any one item
+        ([6, 4, 2, 2], {(6, 4), (2, 2)}),  # one item fills it exactly
+        ([5, 4, 2, 2], {(5, 4), (2, 2)}),  # one item is as large as any pair
+        ([11, 6, 5, 4, 2], set()),  # a pair without the largest fits better: left to best fit
+    ],
+)
+def test_reduction_with_two_partners(sizes, fixed):
+    capacity = 20 if 11 in sizes else 10
+    counts = [sizes.count(s) for s in range(capacity + 1)]
+    patterns, left = packing.reduce_by_dominance(counts)
+    found = {tuple(s for s, n in p.items for _ in range(n)) for p in patterns}
+    assert fixed <= found if fixed else found == set() and left == counts
+
+
 def best_fit_one_by_one(sizes, capacity):
     rooms = []
     for s in sorted(sizes, reverse=True):
