@@ -20,10 +20,10 @@ from .util import fold_of, slices
 
 #: Hash buckets of trigrams, and the count added to each.
 BUCKETS, PRIOR = 1 << 13, 0.5
-#: Training documents of a language, about (drawn by hash); languages at most.
-TRAINING_DOCS, LANGUAGES = 20_000, 64
-#: Rounds of EM, and penalty per language as a multiple of log(trigrams).
-ROUNDS, PENALTY = 12, 4.0
+#: Training documents of a language, about (drawn by hash).
+TRAINING_DOCS = 20_000
+#: Rounds of EM at most; it has converged when no proportion changes by more. Penalty per language as a multiple of log(trigrams).
+ROUNDS, CONVERGED, PENALTY = 50, 1e-3, 4.0
 
 #: Lower-cases A-Z; all else in ASCII that is no letter becomes a space. Other bytes stay.
 LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -55,11 +55,12 @@ class Languages:
     def mixture(self, p: np.ndarray, counts: np.ndarray, chosen: list[int]) -> tuple[np.ndarray, float]:
         """Proportions of the chosen languages and the log-likelihood, relative to ``p``'s scale."""
         q, share = p[:, chosen], np.full(len(chosen), 1 / len(chosen))
-        for _ in range(ROUNDS if len(chosen) > 1 else 1):
-            r = q * share
-            whole = r.sum(axis=1)
-            share = counts @ (r / whole[:, None]) / counts.sum()
-        return share, float(counts @ np.log((q * share).sum(axis=1)))
+        total = counts.sum()
+        for _ in range(ROUNDS if len(chosen) > 1 else 0):
+            before, share = share, share * (q.T @ (counts / (q @ share))) / total
+            if np.abs(share - before).max() < CONVERGED:
+                break
+        return share, float(counts @ np.log(q @ share))
 
     def identify(self, text: str | None) -> tuple[str, float, dict[str, float]]:
         """Main language, its proportion, and the proportions of the chosen set."""
@@ -68,7 +69,7 @@ class Languages:
         at, counts = trigrams(text)
         if not len(at):
             return "und", 0.0, {}
-        logp = self.logp[at]
+        logp = self.logp[at].astype(float)
         top = logp.max(axis=1)
         p = np.exp(logp - top[:, None])
         alone = counts @ (logp - top[:, None])
@@ -92,18 +93,18 @@ class Languages:
 def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int, held: int, per_language: int) -> Languages:
     """Trigram distributions of the languages of documents not held out.
 
-    About ``per_language`` documents of each are drawn by a hash of the id; the LANGUAGES
-    most frequent names are learned.
+    About ``per_language`` documents of each are drawn by a hash of the id; every name is
+    learned. The driver gets BUCKETS counts for each language at most, however many rows there are.
     """
     usable = docs.where(F.col(lang_col).isNotNull() & F.col(text_col).isNotNull() & (fold_of(id_col, folds) != held))
-    sizes = {r.lang: r.n for r in usable.groupBy(F.col(lang_col).alias("lang")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
+    usable = usable.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang"))
+    sizes = {r.lang: r.n for r in usable.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
-        return Languages([], np.zeros((BUCKETS, 0)))
+        return Languages([], np.zeros((BUCKETS, 0), np.float32))
     names = sorted(sizes)
-    limit = F.lit(None).cast("long")
-    for name in names:
-        limit = F.when(F.col(lang_col) == name, int((1 << 20) * min(1.0, per_language / sizes[name]))).otherwise(limit)
-    drawn = usable.where(F.pmod(F.xxhash64(F.col(id_col), F.lit("sample")), F.lit(1 << 20)) < limit)
+    index = {name: i for i, name in enumerate(names)}
+    limits = F.create_map(*[F.lit(x) for name in names for x in (name, int((1 << 20) * min(1.0, per_language / sizes[name])))])
+    drawn = usable.where(F.pmod(F.xxhash64("id", F.lit("sample")), F.lit(1 << 20)) < limits[F.col("lang")]).select("lang", "text")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total: dict[str, np.ndarray] = {}
@@ -118,11 +119,11 @@ def fit(docs: DataFrame, id_col: str, text_col: str, lang_col: str, folds: int,
                 [pa.array([lang] * len(at), pa.string()), pa.array(at, pa.int32()), pa.array(n[at], pa.float64())], names=["lang", "bucket", "n"]
             )
 
-    counted = drawn.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text")).mapInArrow(count, "lang string, bucket int, n double")
+    counted = drawn.mapInArrow(count, "lang string, bucket int, n double")
     table = np.full((BUCKETS, len(names)), PRIOR)
-    for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():  # at most LANGUAGES x BUCKETS
-        table[r.bucket, names.index(r.lang)] += r.n
-    return Languages(names, np.log(table / table.sum(axis=0)))
+    for r in counted.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toLocalIterator():
+        table[r.bucket, index[r.lang]] += r.n
+    return Languages(names, np.log(table / table.sum(axis=0)).astype(np.float32))
 
 
 def identify_languages(
@@ -140,31 +141,29 @@ def identify_languages(
     Learned from the rows with text and language whose crc32(id as text) mod ``folds`` is
     not ``held``; prediction reads the whole text only. Score is the proportion of
     lang_pred. Texts that are null or have no letter, and all texts if nothing could be
-    learned, are ``und`` with score 0. Null ids count as held out. Repeated rows are
-    judged each; an empty table gives an empty result. With ``carry`` a column ``row`` holds
-    the whole input row; else other columns are not read.
+    learned, are ``und`` with score 0. Null ids count as held out. Of equally likely
+    languages the first by name is taken. Repeated rows are judged each; texts of any
+    length are read whole; an empty table gives an empty result. With ``carry`` a column
+    ``row`` holds the whole input row; else other columns are not read. Texts go to
+    Python, rows do not. The model takes 32 KB a language.
     """
-    model = fit(docs, id_col, text_col, lang_col, folds, held, per_language)
+    spark = docs.sparkSession
+    model = spark.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, folds, held, per_language))
+
+    @F.arrow_udf("lang_pred string, score double, mixture map<string, double>")
+    def identify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        own = model.value
+        for batch in texts:
+            found = []
+            for part in slices(pa.RecordBatch.from_arrays([batch], names=["text"]), text=0):
+                found += [own.identify(t) for t in part.column(0).to_pylist()]
+            columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
+            mixtures = pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))
+            yield pa.StructArray.from_arrays([*columns, mixtures], names=["lang_pred", "score", "mixture"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in (part for batch in batches for part in slices(batch)):
-            found = [model.identify(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    b.column(0), pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64()),
-                    pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64())),
-                    *([b.column(2)] if carry else []),
-                ],
-                names=["id", "lang_pred", "score", "mixture", *(["row"] if carry else [])],
-            )
-
-    kind = docs.schema[id_col].dataType.simpleString()
     whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), *whole)
-    schema = f"id {kind}, lang_pred string, score double, mixture map<string, double>"
-    if carry:
-        schema += f", row {rows.schema['row'].dataType.simpleString()}"
-    return rows.mapInArrow(run, schema).select(
-        F.col("id").alias(id_col), F.coalesce(fold_of("id", folds) == held, F.lit(True)).alias("held_out"), "lang_pred", "score",
-        "mixture", *(["row"] if carry else []),
+    rows = docs.select(F.col(id_col).alias("id"), identify(F.col(text_col).cast("string")).alias("found"), *whole)
+    return rows.select(
+        F.col("id").alias(id_col), F.coalesce(fold_of("id", folds) == held, F.lit(True)).alias("held_out"), "found.lang_pred", "found.score",
+        "found.mixture", *(["row"] if carry else []),
     )

@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -61,3 +62,58 @@ def test_bounded_sample(spark):
 def test_whole_text_counts():
     a, b = language_id.trigrams("x" * 10), language_id.trigrams("x" * 10 + "y")
     assert a[1].sum() == 10 and b[1].sum() == 11
+
+
+def test_a_hundred_languages(spark):
+    rng = random.Random(9)
+    names = [f"l{i:03d}" for i in range(100)]
+    letters = {n: ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=2)) for _ in range(4)] for n in names}
+    rows = []
+    for i in range(1200):
+        lang = names[i % 100]
+        rows.append((i, " ".join("".join(rng.choices(letters[lang], k=rng.randrange(1, 4))) for _ in range(60)), lang, "s", 0))
+    got = [r for r in language_id.identify_languages(table(spark, rows)).collect() if r.held_out]
+    assert np.mean([r.lang_pred == rows[r.doc_id][2] for r in got]) > 0.98 and len({r.lang_pred for r in got}) > 90
+
+
+def dense_em(counts, logp, chosen, rounds=2000):
+    """Every trigram occurrence by itself, until nothing changes."""
+    share = {c: 1 / len(chosen) for c in chosen}
+    for _ in range(rounds):
+        new = dict.fromkeys(chosen, 0.0)
+        for bucket, n in counts.items():
+            p = {c: share[c] * math.exp(logp[bucket][c]) for c in chosen}
+            for c in chosen:
+                new[c] += n * p[c] / sum(p.values())
+        total = sum(new.values())
+        share = {c: v / total for c, v in new.items()}
+    return share, sum(n * math.log(sum(share[c] * math.exp(logp[b][c]) for c in chosen)) for b, n in counts.items())
+
+
+def brute_identify(model, text):
+    """All sets grown by one language at a time, with dense EM."""
+    at, n = language_id.trigrams(text)
+    counts = dict(zip(at.tolist(), n.tolist(), strict=True))
+    logp = {b: model.logp[b].astype(float).tolist() for b in counts}
+    every = range(len(model.names))
+    chosen = [max(every, key=lambda c: (sum(n * logp[b][c] for b, n in counts.items()), -c))]
+    share, best = dense_em(counts, logp, chosen, 1)
+    while len(chosen) < len(every):
+        trial, _ = dense_em(counts, logp, [*chosen, *(c for c in every if c not in chosen)], 200)
+        extra = max((c for c in every if c not in chosen), key=lambda c: trial[c])
+        new, likely = dense_em(counts, logp, [*chosen, extra], 200)
+        if likely - best <= language_id.PENALTY * math.log(1 + sum(counts.values())):
+            break
+        chosen, share, best = [*chosen, extra], new, likely
+    return {model.names[c]: v for c, v in share.items()}
+
+
+def test_against_dense_em(spark):
+    rng = random.Random(4)
+    model = language_id.fit(table(spark, corpus(200)), "doc_id", "text", "lang", 4, 2, 1000)
+    for mix in (["xx"], ["xx", "yy"], ["xx", "yy", "zz"], ["zz"], ["yy", "zz"]):
+        own = " ".join(text(rng, lang, rng.randrange(20, 60)) for lang in mix)
+        name, score, mixture = model.identify(own)
+        want = brute_identify(model, own)
+        assert set(mixture) == set(want) and all(abs(mixture[k] - want[k]) < 0.01 for k in want)
+        assert name == max(want, key=want.get) and abs(score - max(want.values())) < 0.01
