@@ -108,9 +108,12 @@ def mix_sources(
     text_col: str = "text",
     lang_col: str = "lang",
     source_col: str = "source",
+    unchosen: bool = False,
 ) -> DataFrame:
     """One row per chosen row of ``docs``: ``id_col``, domain, lang, source, tokens, times.
 
+    With ``unchosen`` there is one for each row, with times 0 for those not chosen.
+
     ``weights``: whole-number weights by level (domain, lang, source) and name;
     ``other``: those of unnamed nodes (1). The budget is ``budget_tokens``, or
     ``budget_permille`` of all tokens. ``times``: in how many epochs the row is taken,
@@ -142,15 +145,18 @@ def mix_sources(
     )
     leaves = materialise(leaves, "quotas")
     if stored_bytes(docs.sparkSession, leaves) <= BROADCAST_BYTES:
-        joined = rows.join(F.broadcast(leaves), LEVELS)
+        joined = rows.join(F.broadcast(leaves), LEVELS, "left")
     else:  # the rows of a large leaf go to many tasks, each with a copy of its quota
         salted = leaves.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
         salt = F.pmod(F.xxhash64("id", "tokens"), F.lit(SALTS)).cast("int")
-        joined = rows.withColumn("salt", salt).join(salted, [*LEVELS, "salt"]).drop("salt")
+        joined = rows.withColumn("salt", salt).join(salted, [*LEVELS, "salt"], "left").drop("salt")
+    if not unchosen:
+        joined = joined.where("whole is not null")
+    joined = joined.withColumns({"whole": F.coalesce("whole", F.lit(0)), "left": F.coalesce("left", F.lit(0))})
     order = F.md5(F.concat_ws(":", F.lit(seed), "whole", F.col("id").cast("string"), "unnamed"))
     placed = prefix_sums(joined.withColumn("place", order), LEVELS, "place", "tokens", ["id", "tokens"])
     return (
-        placed.withColumn("times", F.col("whole") + (F.col("upto") <= F.col("left")).cast("long"))
-        .where("times > 0 and whole + left > 0")
+        placed.withColumn("times", F.expr("if(whole + left > 0, whole + if(upto <= left, 1L, 0L), 0L)"))
+        .where(F.lit(unchosen) | (F.col("times") > 0))
         .select(F.col("id").alias(id_col), *LEVELS, "tokens", "times")
     )

@@ -24,6 +24,10 @@ def share(supply, weight, budget):
     return quota
 
 
+#: Names of the ids where they are not themselves.
+ORDER = {}
+
+
 def brute(rows, permille, epochs, seed=42):
     docs = []
     texts = {}
@@ -52,7 +56,7 @@ def brute(rows, permille, epochs, seed=42):
         n = leaves[leaf]
         whole, left = divmod(q, n) if n else (0, 0)
         own = [(d, texts[k]) for k, d in enumerate(docs) if tuple(d[1:4]) == leaf]
-        md5 = lambda d, t: hashlib.md5(f"{seed}:{whole}:{t if d[0] is None else d[0]}".encode()).hexdigest()
+        md5 = lambda d, t: hashlib.md5(f"{seed}:{whole}:{ORDER.get(d[0], t if d[0] is None else d[0])}".encode()).hexdigest()
         upto = 0
         for d, _ in sorted(own, key=lambda x: (md5(*x), x[0][0] is not None, x[0][0] or 0, x[0][4])):
             upto += d[4]
