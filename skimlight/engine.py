@@ -36,6 +36,10 @@ DEFAULT_FUNCTION = "0-A"
 FEW_MATCHES = 10
 #: Deltas after which the base is rewritten.
 MOST_DELTAS = 8
+#: Pages up to so many rows are broadcast to the stored documents.
+MOST_BROADCAST_ROWS = 10_000
+#: Searches after which the terms of their queries are written.
+NOTED_SEARCHES = 100
 
 
 class Busy(RuntimeError):
@@ -115,6 +119,7 @@ class SearchEngine:
         self.functions = {0: Formula(DEFAULT_FUNCTION)}
         self.functions |= {int(k): Formula(v) for k, v in self.store.manifest.functions.items()}
         self._query_terms: dict[str, int] = {}
+        self._noted = 0
         self._running, self._waiting = threading.BoundedSemaphore(concurrent), threading.BoundedSemaphore(concurrent + waiting)
         self.status = "ready"
 
@@ -184,7 +189,10 @@ class SearchEngine:
         # inside a batch, records without a number count as one and the same time
         numbered = changes.withColumn("seq", F.coalesce("seq", F.lit(0)))
         state = C.fold(current.unionByName(numbered.select(*current.columns)))
-        state = state.join(changes.groupBy("docid").agg(F.bool_or(F.col("fields").isNotNull() | F.col("deleted")).alias("texts")), "docid").persist()
+        rewrites = F.bool_or(F.col("fields").isNotNull() | F.col("deleted"))
+        unordered = (F.count_if(F.col("seq").isNull()) > 0) & (F.count(F.lit(1)) > 1)
+        told = F.when(unordered, F.raise_error(F.lit("several records of a document need seq"))).otherwise(rewrites)
+        state = state.join(changes.groupBy("docid").agg(told.alias("texts")), "docid").persist()
         try:
             rewritten = state.where("texts")
             alive = C.live(rewritten).select("docid", "fields")
@@ -211,30 +219,48 @@ class SearchEngine:
     checkpoint = compact
 
     def recover(self, log: DataFrame) -> None:
-        """Rebuilds the index from a change log."""
+        """Rebuilds the index from a change log. Additions without a time are left out; status is "error" if it fails."""
         self.status = "recovering"
-        state = C.fold(valid(_complete(log)))
-        alive = C.live(state).select("docid", "fields")
-        name = self.store.write({"documents": alive, "postings": self._texts(alive), "dynamic": C.dynamic_of(state, self.n_vars)})
-        self.store.manifest.base, self.store.manifest.deltas = name, []
-        self.store.save()
+        try:
+            timed = valid(_complete(log)).where("fields is null or ts is not null or deleted")
+            state = C.fold(timed.withColumn("seq", F.coalesce("seq", F.lit(0))))
+            alive = C.live(state).select("docid", "fields")
+            name = self.store.write({"documents": alive, "postings": self._texts(alive), "dynamic": C.dynamic_of(state, self.n_vars)})
+            self.store.manifest.base, self.store.manifest.deltas = name, []
+            self.store.save()
+        except BaseException:
+            self.status = "error"
+            raise
         self.status = "ready"
 
     # queries
 
-    def _analyze_query(self, field: str, text: str) -> list[tuple[str, int]]:
-        """Terms of a query word, by the same analyzer as the field's; runs on the driver."""
-        if field == "documentId":
-            return [(text, 0)]
-        row = self.spark.range(1).select(self.analyze(field)(F.lit(text)).alias("t")).first()
-        return [(t.term, t.pos) for t in row.t]
-
     def parse(self, query: str) -> Node:
-        return parse(query, "text", self._analyze_query)
+        """The tree of a query. Its words are analysed as their fields are, all in one job."""
+        asked: dict[tuple[str, str], list[tuple[str, int]]] = {}
+
+        def note(field: str, text: str) -> list[tuple[str, int]]:
+            asked[field, text] = [(text, 0)]
+            return asked[field, text]
+
+        parse(query, "text", note)
+        words = [key for key in asked if key[0] != "documentId"]
+        if words:
+            row = self.spark.range(1).select(*[self.analyze(f)(F.lit(t)).alias(f"t{i}") for i, (f, t) in enumerate(words)]).first()
+            asked |= {key: [(t.term, t.pos) for t in row[f"t{i}"]] for i, key in enumerate(words)}
+        return parse(query, "text", lambda field, text: asked[field, text])
 
     def _match(self, node: Node) -> DataFrame:
         return match(self.postings(), node, self.documents(), self.store.term_stats())
 
+    def matches(self, query: str | Node) -> DataFrame:
+        """(docid, R): all documents that match, with their relevance."""
+        return self._match(self.parse(query) if isinstance(query, str) else query)
+
+    def scored(self, request: SearchRequest) -> DataFrame:
+        """All that match and pass the filters, with R, ts, vars, cats and score."""
+        return self._scored(self.parse(request.query), request)
+
     def search(self, request: SearchRequest) -> SearchResult:
         if not self._waiting.acquire(blocking=False):
             raise Busy("too many searches wait")
@@ -252,24 +278,36 @@ class SearchEngine:
         matches = listed.count()
         page = R.top(listed, request.start, request.limit)
         result = SearchResult(self._fetch(page, node, request), R.facet_counts(scored), matches, scored=scored)
-        if matches:
-            for term in S.note_query(node):
-                self._query_terms[term] = self._query_terms.get(term, 0) + 1
+        if matches and self.suggest == "queries":
+            self._note(node)
         if matches < FEW_MATCHES and self.suggest == "documents":
             better = S.did_you_mean(self.popular_terms(), node, request.query)
             if better and self.count(better):
                 result.did_you_mean = better
         return result
 
+    def _note(self, node: Node) -> None:
+        for term in S.note_query(node):
+            self._query_terms[term] = self._query_terms.get(term, 0) + 1
+        self._noted += 1
+        if self._noted >= NOTED_SEARCHES:
+            self.write_query_terms()
+
+    def write_query_terms(self) -> None:
+        """Adds the terms of recent queries to those stored; done every NOTED_SEARCHES searches, and before they are read."""
+        counts, self._query_terms, self._noted = self._query_terms, {}, 0
+        self.store.add_query_terms(counts)
+
     def _scored(self, node: Node, request: SearchRequest) -> DataFrame:
         return score_matches(R.with_dynamic(self._match(node), self.dynamic()), request, self.functions)
 
     def _fetch(self, page: DataFrame, node: Node, request: SearchRequest) -> DataFrame:
-        """Stored fields, variables, categories and snippets of one page only."""
+        """Stored fields, variables, categories and snippets of one page only; a long page is not broadcast."""
         rows = page
+        few = F.broadcast if request.limit <= MOST_BROADCAST_ROWS else lambda df: df
         wanted = node.positive_terms()
         if request.fetch_fields or request.snippet_fields:
-            small = F.broadcast(page.select("docid"))  # a page: at most ``limit`` rows
+            small = few(page.select("docid"))
             stored = self.documents().join(small, "docid", "left_semi")
             every = "*" in request.fetch_fields
             names = list(request.fetch_fields)
@@ -280,7 +318,7 @@ class SearchEngine:
             ]
             rows = rows.join(stored.select("docid", kept.alias("fields"), *snippets), "docid", "left")
         if request.fetch_variables or request.fetch_categories:
-            own = self.dynamic().join(F.broadcast(page.select("docid")), "docid", "left_semi")
+            own = self.dynamic().join(few(page.select("docid")), "docid", "left_semi")
             zeros = F.array(*[F.lit(0.0).cast("float")] * self.n_vars)
             columns = [F.col("vars")] * request.fetch_variables + [F.col("cats")] * request.fetch_categories
             rows = rows.join(own.select("docid", *columns), "docid", "left")
@@ -306,8 +344,8 @@ class SearchEngine:
         if self.suggest == "documents":
             return S.complete(self.popular_terms(), partial, field)
         if self.suggest == "queries":
-            terms = self.spark.createDataFrame(list(self._query_terms.items()), "term string, cnt long")
-            return S.complete_queries(terms, partial)
+            self.write_query_terms()
+            return S.complete_queries(self.store.query_terms(), partial)
         return [partial]
 
 

@@ -29,6 +29,9 @@ CJK_PATTERN = r"[\p{IsHan}\p{IsHiragana}\p{IsKatakana}\p{IsHangul}]+|[\p{L}\p{N}
 LIGATURES = {"ß": "ss", "æ": "ae", "œ": "oe", "þ": "th", "ĳ": "ij", "ŉ": "'n", "ﬁ": "fi", "ﬂ": "fl"}
 STROKES = {"ø": "o", "đ": "d", "ł": "l", "ð": "d", "ħ": "h", "ı": "i", "ŧ": "t", "ŋ": "n", "ſ": "s", "ĸ": "q"}
 
+#: Quotation marks and dashes (fixed values).
+MARKS = {"‘": "'", "’": "'", "‚": "'", "‛": "'", "“": '"', "”": '"', "„": '"', "‐": "-", "‑": "-", "‒": "-", "–": "-", "—": "-", "‹": "'", "›": "'", "«": '"', "»": '"'}
+
 
 def _base_letters() -> dict[str, str]:
     """Lower-case Latin letters with diacritics -> ASCII letter, by canonical decomposition."""
@@ -38,7 +41,12 @@ def _base_letters() -> dict[str, str]:
         base = unicodedata.normalize("NFD", c)[0]
         if c == c.lower() and base != c and base.isascii() and base.isalpha():
             out.setdefault(c, base)
-    return out
+    # full-width forms, raised and lowered digits and letters, typographic dashes and quotation marks
+    for code in [*range(0xFF01, 0xFF5F), *range(0x2070, 0x209D), 0xB2, 0xB3, 0xB9]:
+        base = unicodedata.normalize("NFKD", chr(code)).lower()
+        if len(base) == 1 and base.isascii():
+            out[chr(code)] = base
+    return out | MARKS
 
 
 BASE_LETTERS = _base_letters()

@@ -9,21 +9,20 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .engine import DEFAULT_FUNCTION, Range, SearchRequest, score_matches
+from .engine import DEFAULT_FUNCTION, Range, SearchEngine, SearchRequest
 from .functions.formula import Formula
-from .functions.snippets import snippet
-from .functions.text import analyzers, fold, spans
+from .functions.text import analyzer, analyzers, fold
 from .operators import changes as C
 from .operators import postings as P
 from .operators import ranking as R
 from .operators import suggest as S
-from .plans.match import match, terms_of
-from .plans.query import MatchAll, Node, parse
+from .plans.query import MatchAll, Phrase
 from .sources import changelog
-from .sources.documents import spread
+from .sources.documents import from_table, spread
+from .sources.folders import scratch_folder
 from .streaming import ingest as stream
 
 NOW = 1_706_745_600  # 2024-02-01
@@ -49,39 +48,74 @@ def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
 
-def postings(
-    spark: SparkSession, sf: str, name: str = "documents", key: str = "doc_id", text: str = "text", config: Mapping = SIMPLE, asked: Node | None = None
-) -> DataFrame:
-    """Postings of a text column; of all terms, or those that a query asks for."""
-    texts = spread(P.field_of(table(spark, sf, name), key, text))
-    return P.build_postings(texts, analyzers(config), wanted=asked and terms_of(asked))
+def postings(spark: SparkSession, sf: str) -> DataFrame:
+    """Postings of documents.text, built from the raw table."""
+    return P.build_postings(spread(P.field_of(table(spark, sf, "documents"), "doc_id", "text")), analyzers(SIMPLE))
 
 
-def tree(text: str) -> Node:
-    return parse(text, "text", lambda f, t: [(w, i) for i, (w, _, _) in enumerate(spans(t, "simple"))])
+#: Indexes of this process, by application, tables and kind: each is built once, and searches read what is stored.
+_ENGINES: dict[tuple[str, str, str], SearchEngine] = {}
 
 
-def found(spark: SparkSession, sf: str, text: str, docs: DataFrame | None = None) -> DataFrame:
-    asked = tree(text)
-    return match(postings(spark, sf, asked=asked), asked, docs)
+def engine(spark: SparkSession, sf: str, kind: str = "documents") -> SearchEngine:
+    """A stored index over one of the tables: ``documents``, ``standard`` (the default analyzer), ``part``, or ``changed`` (documents and later changes)."""
+    key = (spark.sparkContext.applicationId, sf, kind)
+    if key not in _ENGINES:
+        config = {"standard": {}, "part": {"default": {"analyzer": "simple"}, "perField": {"brand": {"analyzer": "keyword"}}}}.get(kind, SIMPLE)
+        new = SearchEngine(spark, f"{scratch_folder(spark)}/{kind}", n_vars=2, analyzer_config=config)
+        if kind == "part":
+            new.recover(from_table(table(spark, sf, "part"), "p_partkey", {"name": "p_name", "brand": "p_brand"}))
+        else:
+            docs = spread(table(spark, sf, "documents"))
+            stamp = F.lit(1_700_000_000) + F.col("doc_id") * 60
+            new.recover(from_table(docs, "doc_id", {"text": "text"}, ["n_chars", F.col("doc_id") % 97], {"lang": "lang", "source": "source"}, stamp))
+        for number, formula in FUNCTIONS.items():
+            new.add_function(number, formula)
+        if kind == "changed":
+            change(new, table(spark, sf, "documents"), table(spark, sf, "labels"))
+        _ENGINES[key] = new
+    return _ENGINES[key]
 
 
-def rounded(matches: DataFrame, score: str = "R") -> DataFrame:
-    return matches.select(F.col("docid").alias("doc_id"), F.round(score, 9).alias("score"))
+#: Scoring functions of the indexes, by number; 0 is there from the start.
+FUNCTIONS = {1: "relevance", 2: "relevance * d[0]", 3: "relevance * 100 + log(d[0] + 1) - age / 1000000", 4: "d[1] - age / 1000000"}
 
 
-def dynamic(spark: SparkSession, sf: str) -> DataFrame:
-    """Of each document: a time, the variables n_chars and doc_id mod 97, the categories lang and source."""
-    return table(spark, sf, "documents").select(
-        F.col("doc_id").alias("docid"), (F.lit(1_700_000_000) + F.col("doc_id") * 60).cast("int").alias("ts"),
-        F.array(F.col("n_chars").cast("float"), (F.col("doc_id") % 97).cast("float")).alias("vars"),
-        F.create_map(F.lit("lang"), "lang", F.lit("source"), "source").alias("cats"),
-    )
+def change(index: SearchEngine, docs: DataFrame, labels: DataFrame) -> None:
+    """Four batches: toxic documents are deleted, other labelled ones get a new text, then variables, categories and times change."""
+    name = F.col("doc_id").cast("string").alias("docid")
+    toxic = labels.where("toxic = 1").select("doc_id").distinct()
+    index.apply(toxic.select(name, F.lit(True).alias("deleted")))
+    newer = docs.join(labels.select("doc_id").distinct(), "doc_id", "left_semi").join(toxic, "doc_id", "left_anti")
+    index.apply(newer.select(name, F.create_map(F.lit("text"), F.concat(F.lit("the "), "lang")).alias("fields")))
+    rest = docs.join(toxic, "doc_id", "left_anti")
+    index.apply(rest.where("doc_id % 10 = 0").select(name, F.create_map(F.lit(1), F.lit(-1.0)).alias("variables")))
+    moved = F.create_map(F.lit("lang"), F.lit(""), F.lit("source"), F.lit("moved"))
+    index.apply(rest.where("doc_id % 7 = 0").select(name, F.lit(1_600_000_000).alias("ts"), moved.alias("categories")))
+
+
+def found(spark: SparkSession, sf: str, text, kind: str = "documents") -> DataFrame:
+    return engine(spark, sf, kind).matches(text)
+
+
+def number(column: str = "docid") -> Column:
+    return F.col(column).cast("long")
+
+
+def rounded(matches: DataFrame, score: str = "R", name: str = "doc_id") -> DataFrame:
+    return matches.select(number().alias(name), F.round(score, 9).alias("score"))
 
 
-def searched(spark: SparkSession, sf: str, text: str, formula: str = "relevance", **request) -> DataFrame:
-    rows = R.with_dynamic(found(spark, sf, text), dynamic(spark, sf))
-    return score_matches(rows, SearchRequest(text, NOW, function=1, **request), {0: Formula(DEFAULT_FUNCTION), 1: Formula(formula)})
+def searched(spark: SparkSession, sf: str, text: str, function: int = 1, kind: str = "documents", **request) -> DataFrame:
+    """All rows that a search matches, filters and scores."""
+    return engine(spark, sf, kind).scored(SearchRequest(text, NOW, function=function, **request))
+
+
+def page(spark: SparkSession, sf: str, text: str, function: int = 1, kind: str = "documents", **request) -> DataFrame:
+    """A page of a search."""
+    result = engine(spark, sf, kind).search(SearchRequest(text, NOW, function=function, **request))
+    result.close()
+    return result.rows
 
 
 #: Postings of documents.text in SQL; a leaf is the score of one term.
@@ -143,29 +177,27 @@ def phrase_query(spark, sf):
     where list_has_any(a.positions, list_transform(b.positions, lambda p: p - 2))"""
 )
 def phrase_gap_query(spark, sf):
-    from .plans.query import Phrase
+    return rounded(found(spark, sf, Phrase("text", ("of", "the"), (0, 2))))
 
-    return rounded(match(postings(spark, sf), Phrase("text", ("of", "the"), (0, 2))))
+
+#: A prefix stands for the first 1000 of its terms at most.
+PREFIX = """, terms as (select distinct term from postings where starts_with(term, '{0}') order by term limit 1000)
+    select doc_id, round(sqrt(sum(tf / doc_len)), 9) as score from postings where term in (select term from terms) group by doc_id"""
 
 
-@query(POSTINGS + " select doc_id, round(sqrt(sum(tf / doc_len)), 9) as score from postings where starts_with(term, 'th') group by doc_id")
+@query(POSTINGS + PREFIX.format("tha"))
 def prefix_query(spark, sf):
-    return rounded(found(spark, sf, "th*"))
+    return rounded(found(spark, sf, "tha*"))
 
 
-@query(
-    POSTINGS + """, terms as (select distinct term from postings where starts_with(term, 'a') order by term limit 1000)
-    select doc_id, round(sqrt(sum(tf / doc_len)), 9) as score from postings where term in (select term from terms) group by doc_id"""
-)
+@query(POSTINGS + PREFIX.format("a"))
 def prefix_term_cap(spark, sf):
-    own = postings(spark, sf)
-    return rounded(match(own, tree("a*"), term_stats=P.term_stats(own)))
+    return rounded(found(spark, sf, "a*"))
 
 
 @query("select distinct doc_id, cast(1 as double) as score from documents")
 def match_all(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("docid"))
-    return rounded(match(postings(spark, sf), MatchAll(), docs))
+    return rounded(found(spark, sf, MatchAll()))
 
 
 @query(
@@ -203,8 +235,7 @@ def query_count(spark, sf):
 
 @query("select count(distinct doc_id) as size from documents")
 def index_size(spark, sf):
-    docs = table(spark, sf, "documents").select(F.col("doc_id").alias("docid"))
-    return match(postings(spark, sf), MatchAll(), docs).agg(F.count(F.lit(1)).alias("size"))
+    return found(spark, sf, MatchAll()).agg(F.count(F.lit(1)).alias("size"))
 
 
 @query(
@@ -212,8 +243,7 @@ def index_size(spark, sf):
     select p_partkey, round((sqrt(1 / len(t)) + sqrt(1 / len(t))) / 2, 9) as score from r where list_contains(t, 'small') and list_contains(t, 'ring')"""
 )
 def short_field_search(spark, sf):
-    own = postings(spark, sf, "part", "p_partkey", "p_name")
-    return match(own, tree("small ring")).select(F.col("docid").alias("p_partkey"), F.round("R", 9).alias("score"))
+    return rounded(found(spark, sf, "name:small name:ring", "part"), name="p_partkey")
 
 
 # The index
@@ -273,39 +303,50 @@ def ascii_fold(spark, sf):
     select p_partkey, round((sqrt(1 / len(t)) + 1) / 2, 9) as score from split where list_contains(t, 'red') and p_brand = 'Brand#7'"""
 )
 def per_field_search(spark, sf):
-    part = table(spark, sf, "part")
-    texts = P.field_of(part, "p_partkey", "p_name", "name").unionByName(P.field_of(part, "p_partkey", "p_brand", "brand"))
-    config = {"default": {"analyzer": "simple"}, "perField": {"brand": {"analyzer": "keyword"}}}
-    own = P.build_postings(texts, analyzers(config), ["brand"])
-    asked = parse('name:red AND brand:"Brand#7"', "name", lambda f, t: [(t, 0)] if f == "brand" else [(w, i) for i, (w, _, _) in enumerate(spans(t, "simple"))])
-    return match(own, asked).select(F.col("docid").alias("p_partkey"), F.round("R", 9).alias("score"))
+    return rounded(found(spark, sf, 'name:red AND brand:"Brand#7"', "part"), name="p_partkey")
 
 
-# Order and pages
+# Order and pages: identifiers are strings, and are ordered as such
 
 
-@query(POSTINGS + leaf("a", "the") + leaf("b", "and") + " select doc_id, round((a.s + b.s) / 2, 9) as score from a join b using (doc_id) order by (a.s + b.s) / 2 desc, doc_id limit 10")
+BY_ID = "cast(doc_id as varchar)"
+
+
+@query(POSTINGS + leaf("a", "the") + leaf("b", "and") + f" select doc_id, round((a.s + b.s) / 2, 9) as score from a join b using (doc_id) order by (a.s + b.s) / 2 desc, {BY_ID} limit 10")
 def topk_relevance(spark, sf):
-    return rounded(R.top(found(spark, sf, "the AND and").withColumnRenamed("R", "score")), "score")
+    return rounded(page(spark, sf, "the AND and"), "score")
 
 
-@query(POSTINGS + leaf("a", "the") + " select doc_id, round(s, 9) as score from a order by s desc, doc_id limit 10 offset 20")
+@query(POSTINGS + leaf("a", "the") + f" select doc_id, round(s, 9) as score from a order by s desc, {BY_ID} limit 10 offset 20")
 def topk_paged(spark, sf):
-    return rounded(R.top(found(spark, sf, "the").withColumnRenamed("R", "score"), 20, 10), "score")
+    return rounded(page(spark, sf, "the", start=20), "score")
 
 
-@query(POSTINGS + leaf("a", "the") + DYNAMIC + f" select doc_id, cast(ts - {NOW} as double) as score from a join dyn using (doc_id) order by score desc, doc_id limit 10")
+@query(POSTINGS + leaf("a", "the") + DYNAMIC + f" select doc_id, cast(ts - {NOW} as double) as score from a join dyn using (doc_id) order by score desc, {BY_ID} limit 10")
 def topk_age(spark, sf):
-    return rounded(R.top(searched(spark, sf, "the", DEFAULT_FUNCTION)), "score")
+    return rounded(page(spark, sf, "the", function=0), "score")
+
+
+@query(POSTINGS + leaf("a", "the") + DYNAMIC + f" select doc_id, cast(ts - {NOW} as double) as score from a join dyn using (doc_id) order by score desc, {BY_ID} limit 10")
+def unknown_function(spark, sf):
+    """A number without a function scores by age."""
+    return rounded(page(spark, sf, "the", function=99), "score")
 
 
 @query(
-    POSTINGS + leaf("a", "the")
-    + " select doc_id, score from (select 7 as doc_id, 1.7976931348623157e308 as score union all select doc_id, round(s, 9) from a where doc_id <> 7) order by score desc, doc_id limit 10"
+    POSTINGS + leaf("a", "and")
+    + f" select doc_id, score from (select 7 as doc_id, 1.7976931348623157e308 as score union all select doc_id, round(s, 9) from a where doc_id <> 7) order by score desc, {BY_ID} limit 10"
 )
 def promoted_result(spark, sf):
-    scored = found(spark, sf, "the").select("docid", F.round("R", 9).alias("score"))
-    return R.top(R.promote(scored, "7", spark)).withColumnRenamed("docid", "doc_id")
+    """A promotion stored with the index is looked up by the query in any case."""
+    engine(spark, sf).promote("7", "And")
+    return rounded(page(spark, sf, "and"), "score")
+
+
+@query(f"select doc_id, text from documents where text is not null order by {BY_ID} limit 20")
+def stored_by_id(spark, sf):
+    rows = engine(spark, sf).documents().orderBy("docid").limit(20)
+    return rows.select(number().alias("doc_id"), F.try_element_at("fields", F.lit("text")).alias("text"))
 
 
 # Formulas, over orders: doc.var[0] the price, doc.var[1] the day of the month, age since the order
@@ -409,9 +450,7 @@ def variable_range_filter(spark, sf):
 
 @query(POSTINGS + leaf("a", "the") + DYNAMIC + " select doc_id, round(s, 9) as score from a join dyn using (doc_id) where s * v0 between 100 and 400")
 def function_range_filter(spark, sf):
-    rows = R.with_dynamic(found(spark, sf, "the"), dynamic(spark, sf))
-    request = SearchRequest("the", NOW, function=1, function_ranges=[Range(2, 100, 400)])
-    return rounded(score_matches(rows, request, {1: Formula("relevance"), 2: Formula("relevance * d[0]")}), "score")
+    return rounded(searched(spark, sf, "the", function_ranges=[Range(2, 100, 400)]), "score")
 
 
 FACETS = " select category, value, count(*) as cnt from (select 'lang' as category, lang as value from m union all select 'source', source from m) where value <> '' group by all"
@@ -438,46 +477,38 @@ def facet_counts_absent(spark, sf):
 @query(POSTINGS + leaf("a", "the") + "select a.doc_id, round(s, 9) as score, coalesce(l.quality, 0) as quality from a left join labels l using (doc_id)")
 def missing_dynamic_data(spark, sf):
     marks = table(spark, sf, "labels").groupBy(F.col("doc_id").alias("docid")).agg(F.max("quality").alias("quality"))
-    rows = found(spark, sf, "the").join(marks, "docid", "left")
+    rows = found(spark, sf, "the").withColumn("docid", number()).join(marks, "docid", "left")
     return rows.select(F.col("docid").alias("doc_id"), F.round("R", 9).alias("score"), F.coalesce("quality", F.lit(0)).alias("quality"))
 
 
 # Fetching
 
 
-PAGE = POSTINGS + leaf("a", "the") + ", page as (select doc_id, s from a order by s desc, doc_id limit 10)"
-
+PAGE = POSTINGS + leaf("a", "the") + f", page as (select doc_id, s from a order by s desc, {BY_ID} limit 10)"
 
-def page(spark: SparkSession, sf: str) -> DataFrame:
-    return R.top(found(spark, sf, "the").withColumnRenamed("R", "score"))
 
-
-@query(PAGE + " select doc_id, round(s, 9) as score, text, lang from page join documents using (doc_id)")
+@query(PAGE + " select doc_id, round(s, 9) as score, text from page join documents using (doc_id)")
 def fetch_fields(spark, sf):
-    stored = table(spark, sf, "documents").select(F.col("doc_id").alias("docid"), "text", "lang")
-    return stored.join(F.broadcast(page(spark, sf)), "docid").select(F.col("docid").alias("doc_id"), F.round("score", 9).alias("score"), "text", "lang")
+    rows = page(spark, sf, "the", fetch_fields=["*"])
+    return rows.select(number().alias("doc_id"), F.round("score", 9).alias("score"), F.col("fields")["text"].alias("text"))
 
 
 @query(PAGE + DYNAMIC + " select doc_id, cast(v0 as float) as variable_0, cast(v1 as float) as variable_1 from page join dyn using (doc_id)")
 def fetch_variables(spark, sf):
-    rows = dynamic(spark, sf).join(F.broadcast(page(spark, sf)), "docid")
-    return rows.select(F.col("docid").alias("doc_id"), F.get("vars", F.lit(0)).alias("variable_0"), F.get("vars", F.lit(1)).alias("variable_1"))
+    rows = page(spark, sf, "the", fetch_variables=True)
+    return rows.select(number().alias("doc_id"), F.get("vars", F.lit(0)).alias("variable_0"), F.get("vars", F.lit(1)).alias("variable_1"))
 
 
 @query(PAGE + DYNAMIC + " select doc_id, lang as category_lang, source as category_source from page join dyn using (doc_id)")
 def fetch_categories(spark, sf):
-    rows = dynamic(spark, sf).join(F.broadcast(page(spark, sf)), "docid")
-    return rows.select(F.col("docid").alias("doc_id"), F.col("cats")["lang"].alias("category_lang"), F.col("cats")["source"].alias("category_source"))
+    rows = page(spark, sf, "the", fetch_categories=True)
+    return rows.select(number().alias("doc_id"), F.col("cats")["lang"].alias("category_lang"), F.col("cats")["source"].alias("category_source"))
 
 
 @query()
 def snippets(spark, sf):
     """Highlighted windows of the ten best documents; beyond SQL, tested against literal cases."""
-    wanted = {"the", "and"}
-    mark = F.pandas_udf(lambda s: s.map(lambda t: snippet(t or "", wanted)), "string")
-    best = R.top(found(spark, sf, "the AND and").withColumnRenamed("R", "score"))
-    stored = table(spark, sf, "documents").select(F.col("doc_id").alias("docid"), "text").join(F.broadcast(best), "docid")
-    return stored.select(F.col("docid").alias("doc_id"), mark("text").alias("snippet"))
+    return page(spark, sf, "the AND and", snippet_fields=["text"]).select(number().alias("doc_id"), F.col("snippet_text").alias("snippet"))
 
 
 # Suggestions
@@ -485,7 +516,7 @@ def snippets(spark, sf):
 
 @query(POSTINGS + " select term, cast(sum(tf) as bigint) as cnt from postings where starts_with(term, 'th') group by term order by cnt desc, term limit 5")
 def autocomplete_terms(spark, sf):
-    return S.complete_terms(P.popularity(P.term_stats(postings(spark, sf))), "text", "th")
+    return S.complete_terms(engine(spark, sf).popular_terms(), "text", "th")
 
 
 @query(
@@ -495,7 +526,7 @@ def autocomplete_terms(spark, sf):
     select prefix, term, cnt, cast(k as int) as "rank" from y where k <= 5"""
 )
 def autocomplete_table(spark, sf):
-    return S.best_by_prefix(P.popularity(P.term_stats(postings(spark, sf))), 3).drop("field")
+    return S.best_by_prefix(engine(spark, sf).popular_terms().where("field = 'text'"), 3).drop("field")
 
 
 @query("""with q as (select unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) as term from conversations where role = 'user')
@@ -509,13 +540,13 @@ def autocomplete_queries(spark, sf):
 
 @query(POSTINGS + " select term, cast(sum(tf) as bigint) as cnt from postings where levenshtein(term, 'thatt') <= 1 group by term")
 def fuzzy_neighbours(spark, sf):
-    return S.neighbours(P.popularity(P.term_stats(postings(spark, sf))), "thatt")
+    return S.neighbours(engine(spark, sf).popular_terms(), "thatt")
 
 
 @query(POSTINGS + """, n as (select term, sum(tf) as cnt from postings where levenshtein(term, 'thatt') <= 1 group by term)
     select 'thatt' as asked, (select term from n order by cnt desc, term limit 1) as term where not exists (select 1 from n where term = 'thatt')""")
 def did_you_mean(spark, sf):
-    fixes = S.correct_terms(P.popularity(P.term_stats(postings(spark, sf))), ["thatt"])
+    fixes = S.correct_terms(engine(spark, sf).popular_terms(), ["thatt"])
     return spark.createDataFrame(list(fixes.items()), "asked string, term string")
 
 
@@ -587,7 +618,7 @@ def log_demux(spark, sf):
 @query("select cast(user_id % 7 as varchar) as index_code, count(*) as records, count(distinct user_id) as documents, max(event_id) as \"last\" from events group by 1")
 def stream_deal(spark, sf):
     """The same log, appended to as it comes, read as a stream and dealt into one folder per index."""
-    folder = stream.scratch_folder(spark)
+    folder = scratch_folder(spark)
     out = f"{folder}/dealt"
     changelog.append(events_log(spark, sf), f"{folder}/log")
     stream.deal(stream.open_log(spark, f"{folder}/log"), out, f"{folder}/offsets", once=True).awaitTermination()
@@ -610,27 +641,104 @@ def update_categories(spark, sf):
     return rows.select("docid", F.try_element_at("cats", F.lit("size")).alias("size")).where("size is not null")
 
 
-@query(POSTINGS + leaf("a", "the") + " select doc_id, round(s, 9) as score from a where doc_id not in (select doc_id from labels where toxic = 1)")
+#: The index ``changed``: what is left, with its newest text, variables, categories and time.
+CHANGED = """
+    with now as (
+        select doc_id, case when doc_id in (select doc_id from labels) then 'the ' || lang else text end as body,
+            cast(cast(n_chars as float) as double) as v0, cast(case when doc_id % 10 = 0 then -1 else doc_id % 97 end as double) as v1,
+            case when doc_id % 7 = 0 then 1600000000 else 1700000000 + doc_id * 60 end as ts,
+            case when doc_id % 7 = 0 then 'moved' else source end as source, case when doc_id % 7 = 0 then null else lang end as lang
+        from documents where doc_id not in (select doc_id from labels where toxic = 1)),
+    split as (select *, regexp_extract_all(lower(body), '[a-z0-9]+') as t from now where body is not null),
+    m as (select *, sqrt(len(list_filter(t, lambda x: x = 'the')) / len(t)) as s from split where list_contains(t, 'the'))"""
+
+
+@query(CHANGED + " select doc_id, round(s, 9) as score from m where doc_id not in (select doc_id from labels)")
 def delete_documents(spark, sf):
-    gone = table(spark, sf, "labels").where("toxic = 1").select(F.col("doc_id").alias("docid")).distinct()
-    return rounded(match(postings(spark, sf).join(gone, "docid", "left_anti"), tree("the")))
+    """Deleted documents match no more; those with a new text are left aside here."""
+    marked = table(spark, sf, "labels").select(F.col("doc_id").cast("string").alias("docid")).distinct()
+    return rounded(found(spark, sf, "the", "changed").join(marked, "docid", "left_anti"))
 
 
-@query(
-    """with old as (
-        select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents where doc_id not in (select doc_id from labels)),
-    fresh as (
-        select doc_id, regexp_extract_all(lower('the ' || lang), '[a-z0-9]+') as t from documents where doc_id in (select doc_id from labels)),
-    everything as (select * from old union all select * from fresh)
-    select doc_id, round(sqrt(len(list_filter(t, lambda x: x = 'the')) / len(t)), 9) as score from everything where list_contains(t, 'the')"""
-)
+@query(CHANGED + " select doc_id, round(s, 9) as score from m")
 def tier_blend(spark, sf):
-    """Documents with a label have a newer version; their old one never matches any more."""
-    docs, changed = spread(table(spark, sf, "documents").select("doc_id", "text", "lang")), table(spark, sf, "labels").select("doc_id").distinct()
-    newer = docs.join(changed, "doc_id", "left_semi").withColumn("text", F.concat(F.lit("the "), "lang"))
-    blended = R.blend(P.field_of(docs, "doc_id", "text"), P.field_of(newer, "doc_id", "text"), changed.withColumnRenamed("doc_id", "docid"))
-    asked = tree("the")
-    return rounded(match(P.build_postings(blended, analyzers(SIMPLE), wanted=terms_of(asked)), asked))
+    """Documents with a newer text match by it alone, whatever the older one scored."""
+    return rounded(found(spark, sf, "the", "changed"))
+
+
+@query(CHANGED + f" select doc_id, round(v1 - ({NOW} - ts) / 1e6, 9) as score from m where v1 <= 50")
+def updated_search(spark, sf):
+    """Changed variables and times in a filter and a formula."""
+    return rounded(searched(spark, sf, "the", 4, "changed", variable_ranges=[Range(1, None, 50)]), "score")
+
+
+@query(CHANGED + FACETS.replace("value <> ''", "value is not null and value <> ''"))
+def updated_facets(spark, sf):
+    return R.facet_counts(searched(spark, sf, "the", 1, "changed"))
+
+
+@query(CHANGED + " select doc_id, ts, v0, v1, lang, source from now")
+def dynamic_snapshot(spark, sf):
+    rows = engine(spark, sf, "changed").dynamic()
+    return rows.select(
+        number().alias("doc_id"), F.col("ts").cast("long").alias("ts"), *[F.get("vars", F.lit(i)).cast("double").alias(f"v{i}") for i in (0, 1)],
+        *[F.try_element_at("cats", F.lit(c)).alias(c) for c in ("lang", "source")],
+    )
+
+
+@query(CHANGED + " select doc_id, body from now where body is not null")
+def stored_documents(spark, sf):
+    rows = engine(spark, sf, "changed").documents()
+    return rows.select(number().alias("doc_id"), F.try_element_at("fields", F.lit("text")).alias("body")).where("body is not null")
+
+
+# The default analyzer, chains of filters, the stored index itself
+
+
+STANDARD = r"""
+    with split as (
+        select doc_id, regexp_extract_all(strip_accents(replace(lower(text), 'ß', 'ss')), '[\p{L}\p{N}]+(?:[.''’][\p{L}\p{N}]+)*') as t from documents where text is not null),
+    tokens as (select doc_id, len(t) as doc_len, unnest(t) as term from split)"""
+
+
+@query(STANDARD + " select term, count(distinct doc_id) as df, count(*) as cnt from tokens group by term")
+def standard_terms(spark, sf):
+    return engine(spark, sf, "standard").store.term_stats().where("field = 'text'").select("term", "df", "cnt")
+
+
+@query(STANDARD + " select doc_id, round(sqrt(count(*) / any_value(doc_len)), 9) as score from tokens where term = 'uber' group by doc_id")
+def standard_search(spark, sf):
+    return rounded(found(spark, sf, "Über", "standard"))
+
+
+@query("""with split as (select doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') as t from documents),
+    tokens as (select doc_id, unnest(t) as term from split)
+    select substr(term, 1, 4) as term, count(*) as cnt from tokens where term not in ('the', 'and') group by 1""")
+def filter_chain(spark, sf):
+    """Stop words out, then terms cut to four letters."""
+    chain = analyzer({"analyzer": "simple", "filters": [{"filter": "stop", "stopwords": ["the", "and"]}, {"filter": "truncate", "length": 4}]})
+    rows = spread(table(spark, sf, "documents").select("text")).select(F.explode(chain(F.col("text"))).alias("t"))
+    return rows.groupBy("t.term").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+@query(POSTINGS + " select doc_id, array_to_string(positions, ' ') as positions, tf, doc_len from postings where term = 'the'")
+def posting_scan(spark, sf):
+    rows = engine(spark, sf).postings().where("field = 'text' and term = 'the'")
+    return rows.select(number().alias("doc_id"), F.array_join("positions", " ").alias("positions"), "tf", "doc_len")
+
+
+@query(POSTINGS + " select term, cast(sum(tf) as bigint) as cnt from postings group by term")
+def term_popularity(spark, sf):
+    return engine(spark, sf).popular_terms().where("field = 'text'").select("term", "cnt")
+
+
+@query(POSTINGS + """, n as (select term, sum(tf) as cnt from postings where levenshtein(term, 'thatt') <= 1 group by term)
+    select case when exists (select 1 from n where term = 'thatt') then null else (select term from n order by cnt desc, term limit 1) end as did_you_mean""")
+def corrected_query(spark, sf):
+    """What a search offers for a misspelt term."""
+    result = engine(spark, sf).search(SearchRequest("thatt", NOW))
+    result.close()
+    return spark.createDataFrame([(result.did_you_mean,)], "did_you_mean string")
 
 
 # All together
@@ -639,9 +747,9 @@ def tier_blend(spark, sf):
 @query(
     POSTINGS + leaf("a", "the") + leaf("b", "and") + DYNAMIC
     + f""", m as (select doc_id, (a.s + b.s) / 2 as r, ts, v0, lang from a join b using (doc_id) join dyn using (doc_id) where lang = 'en')
-    select doc_id, round(r * 100 + ln(v0 + 1) - ({NOW} - ts) / 1e6, 9) as score, lang from m order by r * 100 + ln(v0 + 1) - ({NOW} - ts) / 1e6 desc, doc_id limit 10"""
+    select doc_id, round(r * 100 + ln(v0 + 1) - ({NOW} - ts) / 1e6, 9) as score, lang from m order by r * 100 + ln(v0 + 1) - ({NOW} - ts) / 1e6 desc, {BY_ID} limit 10"""
 )
 def flagship(spark, sf):
-    """A query string, a facet filter, a scoring formula, the best ten."""
-    rows = searched(spark, sf, "the AND and", "relevance * 100 + log(d[0] + 1) - age / 1000000", facets={"lang": ["en"]})
-    return R.top(rows).select(F.col("docid").alias("doc_id"), F.round("score", 9).alias("score"), F.col("cats")["lang"].alias("lang"))
+    """A query string, a facet filter, a scoring formula, the best ten of a stored index."""
+    rows = page(spark, sf, "the AND and", 3, facets={"lang": ["en"]}, fetch_categories=True)
+    return rows.select(number().alias("doc_id"), F.round("score", 9).alias("score"), F.col("cats")["lang"].alias("lang"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.changes import fold
+
 #: A record as written; null means not set.
 RECORD_SCHEMA = (
     "timestamp_ms long, seq long, index_code string, docid string, deleted boolean, ts int, fields map<string,string>,"
@@ -48,3 +50,30 @@ def log_info(log: DataFrame) -> DataFrame:
     """(index_code, records, documents, last): what the log holds."""
     per_doc = log.groupBy("index_code", "docid").agg(F.count(F.lit(1)).alias("n"), F.max("seq").alias("last"))
     return per_doc.groupBy("index_code").agg(F.sum("n").alias("records"), F.count(F.lit(1)).alias("documents"), F.max("last").alias("last"))
+
+
+def indexes(spark: SparkSession, path: str) -> DataFrame:
+    """(index_code, files, bytes) of a log that is laid out by index."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(path).select("path", "length")
+    code = F.regexp_extract("path", r"/index_code=([^/]*)/", 1)
+    return files.groupBy(F.url_decode(code).alias("index_code")).agg(F.count(F.lit(1)).alias("files"), F.sum("length").alias("bytes"))
+
+
+def delete(spark: SparkSession, path: str, index_code: str) -> bool:
+    """Deletes one index's folder; whether there was one."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/index_code={index_code}")
+    return folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def compacted(log: DataFrame) -> DataFrame:
+    """The log's records folded to one for each document and index: the state that they give, with deletes left out."""
+    parts = log.where("index_code is not null").select("*", F.concat_ws("\u0000", "index_code", "docid").alias("_id"))
+    state = fold(parts.drop("docid").withColumnRenamed("_id", "docid")).where("not deleted")
+    split = F.split("docid", "\u0000", 2)
+    return records(state.select("seq", split[0].alias("index_code"), split[1].alias("docid"), "deleted", "ts", "fields", "variables", "categories"))
+
+
+def compact(spark: SparkSession, path: str, target: str) -> None:
+    """Writes the folded log to a new folder; readers change to it when it is whole."""
+    out = compacted(read(spark, path).withColumn("index_code", F.col("index_code").cast("string")))
+    out.repartition("index_code", F.pmod(F.xxhash64("docid"), F.lit(16))).write.partitionBy("index_code").parquet(target)

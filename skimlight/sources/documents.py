@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -70,6 +71,38 @@ def from_table(
     )
 
 
+def statuses(lines: DataFrame, column: str = "value") -> DataFrame:
+    """(item, added, error) for each line, in the order of the lines' numbers: whether it is a document."""
+    d = F.from_json(column, JSON_SCHEMA)
+    good = F.coalesce(d["docid"].isNotNull() & (d["docid"] != "") & d["fields"].isNotNull(), F.lit(False))
+    return lines.select(F.col(column).alias("item"), good.alias("added"), F.when(~good, "Invalid or missing argument").alias("error"))
+
+
+def flat(rows: DataFrame) -> DataFrame:
+    """Result rows with one map column ``result``: docid, query_relevance_score, fields and snippets by name, variable_0 ..., category_...; all as text."""
+    parts = [F.create_map(F.lit("docid"), "docid", F.lit("query_relevance_score"), F.col("score").cast("string"))]
+    if "fields" in rows.columns:
+        parts.append(F.coalesce("fields", F.create_map().cast("map<string,string>")))
+    if "vars" in rows.columns:
+        numbered = F.transform("vars", lambda v, i: F.struct(F.concat(F.lit("variable_"), i), v.cast("string")))
+        parts.append(F.map_from_entries(numbered))
+    if "cats" in rows.columns:
+        parts.append(F.coalesce(F.transform_keys("cats", lambda k, v: F.concat(F.lit("category_"), k)), F.create_map().cast("map<string,string>")))
+    shown = [c for c in rows.columns if c.startswith("snippet_")]
+    if shown:
+        parts.append(F.create_map(*[x for c in shown for x in (F.lit(c), F.col(f"`{c}`"))]))
+    # a stored field may be named like a key of the result, which then wins
+    entries = F.flatten(F.array(*[F.map_entries(p) for p in [*parts[1:], parts[0]]]))
+    names = F.array_distinct(F.transform(entries, lambda e: e["key"]))
+    last = F.transform(names, lambda n: F.struct(n.alias("key"), F.element_at(F.filter(entries, lambda e: e["key"] == n), -1)["value"].alias("value")))
+    return rows.select("docid", "score", F.map_from_entries(last).alias("result"))
+
+
 def as_json(rows: DataFrame) -> DataFrame:
-    """One JSON object per result row, in the column ``value``."""
-    return rows.select(F.to_json(F.struct("*")).alias("value"))
+    """One JSON object per result row, in the column ``value``, with the flat keys of ``flat``."""
+    return flat(rows).orderBy(F.col("score").desc(), "docid").select(F.to_json("result").alias("value"))
+
+
+def completions_json(partial: str, found: Sequence[str]) -> str:
+    """The answer to an autocompletion."""
+    return json.dumps({"query": partial, "suggestions": list(found)}, ensure_ascii=False)

@@ -9,6 +9,7 @@ in the newest folder that names it.
 from __future__ import annotations
 
 import json
+import time
 import uuid
 from dataclasses import asdict, dataclass, field
 
@@ -33,7 +34,12 @@ class Manifest:
     functions: dict[str, str] = field(default_factory=dict)
     promotions: dict[str, str] = field(default_factory=dict)
     last_batch: int = -1
-    last_seq: int = -1
+    #: Number of this state; each save makes the next one.
+    version: int = 0
+
+
+class Conflict(RuntimeError):
+    """Another session has written since this one last read the pointer."""
 
 
 class Store:
@@ -54,7 +60,10 @@ class Store:
         return Manifest(**json.loads(text))
 
     def save(self) -> None:
-        """Makes the manifest's state the current one."""
+        """Makes the manifest's state the current one; a Conflict if another session's is newer than the one read."""
+        if self._load().version != self.manifest.version:
+            raise Conflict(f"{self.root} has changed; refresh and apply again")
+        self.manifest.version += 1
         new = self._path(f".CURRENT-{uuid.uuid4().hex}")
         out = self._fs.create(new)
         out.write(bytearray(json.dumps(asdict(self.manifest)).encode()))
@@ -116,13 +125,27 @@ class Store:
         rows = self.spark.read.schema(schema).parquet(*[f"{self.root}/{f}/term_stats" for f in folders])
         return rows.groupBy("field", "term").agg(F.sum("df").alias("df"), F.sum("cnt").alias("cnt"))
 
-    def clean(self) -> list[str]:
-        """Deletes folders that the manifest no longer names."""
+    def clean(self, age: float = 3600) -> list[str]:
+        """Deletes folders that the manifest no longer names and that have not changed for ``age`` seconds, as others may still read them."""
         keep = {self.manifest.base, *self.manifest.deltas}
         gone = []
         for status in self._fs.listStatus(self._path()):
             name = status.getPath().getName()
-            if name.startswith("v-") and name not in keep:
+            if name.startswith("v-") and name not in keep and time.time() - status.getModificationTime() / 1000 >= age:
                 self._fs.delete(status.getPath(), True)
                 gone.append(name)
         return gone
+
+    # terms of past queries: rows are only added
+
+    def add_query_terms(self, counts: dict[str, int]) -> None:
+        if counts:
+            rows = self.spark.createDataFrame(list(counts.items()), "term string, cnt long")
+            rows.coalesce(1).write.mode("append").parquet(f"{self.root}/query_terms")
+
+    def query_terms(self) -> DataFrame:
+        """(term, cnt) over all sessions."""
+        schema = "term string, cnt long"
+        if not self._fs.exists(self._path("query_terms")):
+            return self.spark.createDataFrame([], schema)
+        return self.spark.read.schema(schema).parquet(f"{self.root}/query_terms").groupBy("term").agg(F.sum("cnt").alias("cnt"))

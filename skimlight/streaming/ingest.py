@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -38,9 +37,3 @@ def popularity_stream(texts: DataFrame, analyze: Callable[[str], Analyzer] | Non
 
 def open_log(spark: SparkSession, path: str) -> DataFrame:
     return changelog.read_stream(spark, path)
-
-
-def scratch_folder(spark: SparkSession) -> str:
-    """A new folder that driver and executors share: below spark.checkpoint.dir, else /tmp/checkpoints."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or "/tmp/checkpoints"
-    return f"{base.rstrip('/')}/scratch-{uuid.uuid4().hex}"

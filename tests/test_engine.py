@@ -6,6 +6,8 @@ from skimlight.engine import Busy, Range, SearchEngine, SearchRequest
 from skimlight.functions.formula import FormulaError, MissingQueryVariable
 from skimlight.plans.query import InvalidQuery
 from skimlight.sources import changelog, documents
+from skimlight.sources.folders import shared_folder
+from skimlight.sources.store import Conflict
 
 CHANGE = "docid string, deleted boolean, ts int, fields map<string,string>, variables map<int,double>, categories map<string,string>"
 NOW = 1_000_000
@@ -51,7 +53,8 @@ def test_facets(engine):
     row = result.rows.collect()[0].asDict()
     assert row["docid"] == "D8" and row["fields"] == {"text": "B"} and row["vars"] == [0, 0, 0]
     assert row["cats"] == {"TIPO": "TERCERO"} and row["snippet_text"] == "<b>B</b>" and result.matches == 5
-    assert json.loads(documents.as_json(result.rows.limit(1)).first().value)["docid"] == "D8"
+    shown = json.loads(documents.as_json(result.rows.limit(1)).first().value)
+    assert shown == {"docid": "D8", "query_relevance_score": str(row["score"]), "text": "B", "variable_0": "0.0", "variable_1": "0.0", "variable_2": "0.0", "category_TIPO": "TERCERO", "snippet_text": "<b>B</b>"}
 
 
 def test_pages_and_promotion(engine):
@@ -87,7 +90,7 @@ def test_updates(engine):
     before = sorted(map(str, engine.postings().collect()))
     engine.checkpoint()
     assert sorted(map(str, engine.postings().collect())) == before and engine.store.manifest.deltas == []
-    assert len(engine.store.clean()) == 5
+    assert engine.store.clean() == [] and len(engine.store.clean(age=0)) == 5  # others may still read young folders
     again = SearchEngine(engine.spark, engine.store.root, n_vars=3)
     assert ids(again, "one") == ["b"] and ids(again, "documentId:b") == ["b"]
     with pytest.raises(Exception, match="out of range"):
@@ -143,6 +146,9 @@ def test_suggestions(engine):
     past = SearchEngine(engine.spark, engine.store.root, n_vars=3, suggest="queries")
     past.search(SearchRequest("chapelco OR nothing", NOW))
     assert past.complete("cha x") == ["chapelco"]
+    # past queries are stored with the index
+    assert SearchEngine(engine.spark, engine.store.root, n_vars=3, suggest="queries").complete("cha") == ["chapelco"]
+    assert json.loads(documents.completions_json("cha", past.complete("cha"))) == {"query": "cha", "suggestions": ["chapelco"]}
     assert SearchEngine(engine.spark, engine.store.root, suggest="none").complete("ab") == ["ab"]
     assert engine.stats().first().documents == 2
 
@@ -202,3 +208,77 @@ def test_other_sessions_see_the_pointer(engine):
     assert other.size() == 0
     other.store.refresh()
     assert other.size() == 2
+
+
+def test_two_writers_do_not_lose_a_delta(engine):
+    apply(engine, change("a", "x"))
+    other = SearchEngine(engine.spark, engine.store.root, n_vars=3)
+    apply(engine, change("b", "x"))
+    with pytest.raises(Conflict):
+        apply(other, change("c", "x"))
+    other.store.refresh()
+    apply(other, change("c", "x"))
+    assert other.size() == 3
+
+
+def test_recovery(engine):
+    rows = [(0, *change("a", "x", 5)), (1, *change("untimed", "x")), (2, *change("a", variables={0: 2.0})), (3, *change("b", "x", 6)), (4, *change("b", deleted=True))]
+    log = engine.spark.createDataFrame(rows, "seq long, " + CHANGE)
+    engine.recover(log)
+    assert engine.status == "ready" and ids(engine, "x") == ["a"] and list(engine.dynamic().first().vars) == [2, 0, 0]
+    with pytest.raises(Exception, match="out of range"):
+        engine.recover(engine.spark.createDataFrame([(0, *change("a", "x", 5, {7: 1.0}))], "seq long, " + CHANGE))
+    assert engine.status == "error" and ids(engine, "x") == ["a"]
+
+
+def test_several_records_need_an_order(engine):
+    with pytest.raises(Exception, match="need seq"):
+        apply(engine, change("a", "x"), change("a", "y"))
+
+
+def test_searches_read_the_stored_index(engine):
+    """The terms reach the scan of the stored postings, and a query's words are analysed in one job."""
+    apply(engine, *[change(f"d{i}", f"word{i} common", i) for i in range(50)])
+    plan = engine.matches("word7 AND common")._jdf.queryExecution().executedPlan().toString()
+    pushed = next(line for line in plan.splitlines() if "PushedFilters" in line and "term" in line)
+    assert "EqualTo(term,word7)" in pushed and "EqualTo(field,text)" in pushed
+    tracker, group = engine.spark.sparkContext.statusTracker(), "words of a query"
+    engine.spark.sparkContext.setJobGroup(group, group)
+    try:
+        engine.parse("one two three four five -six")
+        assert len(tracker.getJobIdsForGroup(group)) <= 1
+    finally:
+        engine.spark.sparkContext._jsc.clearJobGroup()
+
+
+def test_statuses_of_json_lines(spark):
+    lines = spark.createDataFrame([('{"docid": "a", "fields": {"text": "x"}}',), ('{"fields": {"text": "x"}}',), ("no json",), ('{"docid": ""}',)], "value string")
+    got = documents.statuses(lines).collect()
+    assert [r.added for r in got] == [True, False, False, False] and [r.error for r in got] == [None, *["Invalid or missing argument"] * 3]
+
+
+def test_log_administration(spark, tmp_path):
+    rows = [(i, code, "d1" if i % 2 else "d2", i == 5, i, {"text": str(i)}) for i, code in enumerate("aabbbbaa")]
+    log = spark.createDataFrame(rows, "seq long, index_code string, docid string, deleted boolean, ts int, fields map<string,string>")
+    changelog.append(log, str(tmp_path / "log"))
+    changelog.append(log.withColumn("seq", log.seq + 100), str(tmp_path / "log"))
+    sizes = {r.index_code: r.files for r in changelog.indexes(spark, str(tmp_path / "log")).collect()}
+    assert set(sizes) == {"a", "b"} and all(n >= 2 for n in sizes.values())
+    changelog.compact(spark, str(tmp_path / "log"), str(tmp_path / "new"))
+    left = {(r.index_code, r.docid, r.seq, r.fields["text"]) for r in changelog.read(spark, str(tmp_path / "new")).collect()}
+    assert left == {("a", "d1", 107, "7"), ("a", "d2", 106, "6"), ("b", "d2", 104, "4")}
+    assert changelog.delete(spark, str(tmp_path / "new"), "a") and {r.index_code for r in changelog.indexes(spark, str(tmp_path / "new")).collect()} == {"b"}
+
+
+def test_no_folder_is_made_up_on_a_cluster(spark, monkeypatch):
+    assert shared_folder(spark)
+
+    class Elsewhere:
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+        class conf:
+            get = staticmethod(lambda key, other: other)
+
+    with pytest.raises(ValueError, match="spark.checkpoint.dir"):
+        shared_folder(Elsewhere)
