@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from .text import spans
 
-#: Characters from the first to the last match of a window, and terms of context before and after.
+#: Characters from the first to the last match of a window, and terms of context before and after.
 WINDOW, BEFORE, AFTER = 200, 5, 24
 
 

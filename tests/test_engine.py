@@ -1,4 +1,5 @@
 import json
+import random
 
 import pytest
 
@@ -40,21 +41,35 @@ def facets(result):
 
 
 def test_facets(engine):
-    data = [("D1", "A", "BAJO", "NAH"), ("D2", "A", "BAJO", "SI"), ("D3", "A", "ALTO", "NAH"), ("D4", "A B", "ALTO", "SI"),
-            ("D5", "A B", "BAJO", "NAH"), ("D6", "B", "BAJO", "SI"), ("D7", "B", None, "NAH"), ("D8", "B", None, "TERCERO")]
-    apply(engine, *[change(d, t, i, categories={k: v for k, v in (("PRECIO", p), ("TIPO", x)) if v}) for i, (d, t, p, x) in enumerate(data)])
-    assert facets(engine.search(SearchRequest("a", NOW))) == {"PRECIO": {"ALTO": 2, "BAJO": 3}, "TIPO": {"NAH": 3, "SI": 2}}
-    assert facets(engine.search(SearchRequest("b", NOW))) == {"PRECIO": {"ALTO": 1, "BAJO": 2}, "TIPO": {"NAH": 2, "SI": 2, "TERCERO": 1}}
-    assert ids(engine, "a OR b", facets={"PRECIO": ["BAJO"]}) == ["D6", "D5", "D2", "D1"]
-    assert ids(engine, "a OR b", facets={"TIPO": ["NAH", "TERCERO"]}) == ["D8", "D7", "D5", "D3", "D1"]
-    assert ids(engine, "a OR b", facets={"TIPO": ["NAH", "TERCERO"], "PRECIO": ["BAJO"]}) == ["D5", "D1"]
-    assert ids(engine, "a OR b", facets={"NONE": ["X"]}) == []
-    result = engine.search(SearchRequest("b", NOW, limit=2, fetch_fields=["*"], fetch_variables=True, fetch_categories=True, snippet_fields=["text"]))
+    rng = random.Random(11)
+    stock = {}
+    for i in range(30):
+        words = {w for w in ("oak", "pine", "ash") if rng.random() < 0.5} or {"oak"}
+        stock[f"board{i:02d}"] = (words, {k: rng.choice(v) for k, v in (("grade", ["first", "second"]), ("yard", ["north", "south", "quay"])) if rng.random() < 0.8})
+    apply(engine, *[change(d, " ".join(sorted(w)), i, categories=c) for i, (d, (w, c)) in enumerate(stock.items())])
+
+    def counted(*words):
+        out = {}
+        for w, c in stock.values():
+            for k, v in c.items() if w & set(words) else ():
+                out.setdefault(k, {}).setdefault(v, 0)
+                out[k][v] += 1
+        return out
+
+    def listed(words, **wanted):
+        return [d for d, (w, c) in reversed(stock.items()) if w & set(words) and all(c.get(k) in v for k, v in wanted.items())]
+
+    assert facets(engine.search(SearchRequest("oak", NOW))) == counted("oak")
+    assert facets(engine.search(SearchRequest("oak OR ash", NOW))) == counted("oak", "ash")
+    for wanted in ({"grade": ["first"]}, {"yard": ["north", "quay"]}, {"yard": ["north", "quay"], "grade": ["first"]}, {"none": ["x"]}):
+        assert ids(engine, "pine OR ash", facets=wanted) == listed(["pine", "ash"], **wanted)
+    apply(engine, change("late", "Cedar", 99, categories={"yard": "quay"}))
+    result = engine.search(SearchRequest("cedar", NOW, limit=2, fetch_fields=["*"], fetch_variables=True, fetch_categories=True, snippet_fields=["text"]))
     row = result.rows.collect()[0].asDict()
-    assert row["docid"] == "D8" and row["fields"] == {"text": "B"} and row["vars"] == [0, 0, 0]
-    assert row["cats"] == {"TIPO": "TERCERO"} and row["snippet_text"] == "<b>B</b>" and result.matches == 5
+    assert row["docid"] == "late" and row["fields"] == {"text": "Cedar"} and row["vars"] == [0, 0, 0]
+    assert row["cats"] == {"yard": "quay"} and row["snippet_text"] == "<b>Cedar</b>" and result.matches == 1
     shown = json.loads(documents.as_json(result.rows.limit(1)).first().value)
-    assert shown == {"docid": "D8", "query_relevance_score": str(row["score"]), "text": "B", "variable_0": "0.0", "variable_1": "0.0", "variable_2": "0.0", "category_TIPO": "TERCERO", "snippet_text": "<b>B</b>"}
+    assert shown == {"docid": "late", "query_relevance_score": str(row["score"]), "text": "Cedar", "variable_0": "0.0", "variable_1": "0.0", "variable_2": "0.0", "category_yard": "quay", "snippet_text": "<b>Cedar</b>"}
 
 
 def test_pages_and_promotion(engine):
@@ -98,8 +113,6 @@ def test_updates(engine):
 
 
 def test_many_deltas_equal_a_rebuild(engine, tmp_path):
-    import random
-
     rng, rows = random.Random(5), []
     for step in range(12):
         batch = [change(f"d{i}", deleted=True) if rng.random() < 0.2 else change(f"d{i}", " ".join(rng.choices("abcdef", k=4)), step, {0: rng.random()})
@@ -133,22 +146,21 @@ def test_functions_and_ranges(engine):
 
 
 def test_suggestions(engine):
-    counts = {"hola": 1, "chau": 1, "chacinado": 2, "chancho": 1, "chanchon": 1, "chancha": 1, "chanchito": 2, "chanchitos": 1, "chanchos": 3,
-              "chanchas": 1, "chapalmalal": 1, "chapelco": 4, "charco": 1, "chaucha": 1, "chino": 5, "choique": 1}
+    counts = {"lamp": 1, "lantern": 4, "lanterns": 2, "lance": 3, "lark": 1, "larch": 5, "lattice": 1, "lava": 2}
     apply(engine, change("1", " ".join(w for w, n in counts.items() for _ in range(n))), change("2", "ñandú"))
-    assert engine.complete("hol") == ["hola"] and engine.complete("cha")[0] == "chapelco"
-    assert engine.complete("ch")[:3] == ["chino", "chapelco", "chanchos"]
-    assert engine.complete("el chan") == ["el chanchos", "el chanchito", "el chancha", "el chanchas", "el chanchitos"]
-    assert engine.complete("") == []
-    assert engine.search(SearchRequest("chapelca", NOW)).did_you_mean == "chapelco"
-    assert engine.search(SearchRequest("chapelco", NOW)).did_you_mean is None
-    assert engine.search(SearchRequest("chapelca OR chapelca", NOW)).did_you_mean is None
+    best = lambda prefix: sorted((w for w in counts if w.startswith(prefix)), key=lambda w: (-counts[w], w))[:5]
+    for prefix in ("l", "la", "lan", "lar", "lamp"):
+        assert engine.complete(prefix) == best(prefix)
+    assert engine.complete("the old lan") == ["the old " + w for w in best("lan")] and engine.complete("") == []
+    assert engine.search(SearchRequest("lanterm", NOW)).did_you_mean == "lantern"
+    assert engine.search(SearchRequest("lantern", NOW)).did_you_mean is None
+    assert engine.search(SearchRequest("lanterm OR lanterm", NOW)).did_you_mean is None
     past = SearchEngine(engine.spark, engine.store.root, n_vars=3, suggest="queries")
-    past.search(SearchRequest("chapelco OR nothing", NOW))
-    assert past.complete("cha x") == ["chapelco"]
+    past.search(SearchRequest("lantern OR nothing", NOW))
+    assert past.complete("lan x") == ["lantern"]
     # past queries are stored with the index
-    assert SearchEngine(engine.spark, engine.store.root, n_vars=3, suggest="queries").complete("cha") == ["chapelco"]
-    assert json.loads(documents.completions_json("cha", past.complete("cha"))) == {"query": "cha", "suggestions": ["chapelco"]}
+    assert SearchEngine(engine.spark, engine.store.root, n_vars=3, suggest="queries").complete("lan") == ["lantern"]
+    assert json.loads(documents.completions_json("lan", past.complete("lan"))) == {"query": "lan", "suggestions": ["lantern"]}
     assert SearchEngine(engine.spark, engine.store.root, suggest="none").complete("ab") == ["ab"]
     assert engine.stats().first().documents == 2
 

@@ -21,38 +21,6 @@ def scores(postings, query, docs=None):
     return {r.docid: r.R for r in match(postings, node, docs).collect()}
 
 
-@pytest.fixture(scope="module")
-def greetings(spark):
-    return index(spark, [(f"id{i}", f"hola que tal {i}") for i in range(1, 5)]).persist()
-
-
-@pytest.mark.parametrize(
-    ("query", "ids"),
-    [
-        ("hola", "1234"), ("3", "3"), ("hola AND nunca", ""), ("nada OR tal", "1234"), ("nada OR 4", "4"), ('"que tal 3"', "3"),
-        ("hola -que", ""), ("tal -nada", "1234"), ('"hola que" AND (3 OR 2)', "23"), ("((hola AND 3) OR (hola AND 4)) AND 4", "4"),
-        ("((hola AND 3) OR (hola AND 4)) AND (2 OR 3)", "3"), ("halo", ""), ("hola AND tal", "1234"), ("hola AND 2", "2"),
-        ("nada OR nunca", ""), ('"hola que"', "1234"), ('"tal que 3"', ""), ("tal -3", "124"), ('"hola que" AND 3', "3"),
-        ('"hola que tal" -3', "124"), ("(hola AND 3) OR (hola AND 4)", "34"), ("((hola AND 3) OR (hola AND 4)) -4", "3"),
-    ],
-)
-def test_boolean(greetings, query, ids):
-    assert set(scores(greetings, query)) == {f"id{i}" for i in ids}
-
-
-@pytest.mark.parametrize(
-    ("query", "order"),
-    [
-        ("aaa", "1324"), ("aaa AND bbb", "234"), ("aaa OR bbb", "2314"), ("aaa^2 OR bbb", "3214"), ("aaa OR bbb^2", "2341"),
-        ("ccc OR ddd", "54"), ("ccc OR ddd OR eee^2", "45"),
-    ],
-)
-def test_order(spark, query, order):
-    docs = [("1", "aaa"), ("2", "aaa bbb"), ("3", "aaa aaa bbb"), ("4", "aaa bbb ccc eee"), ("5", "ccc ddd")]
-    found = scores(index(spark, docs), query)
-    assert "".join(sorted(found, key=lambda d: (-round(found[d], 9), d))) == order
-
-
 def test_scores(spark):
     own = index(spark, [("1", "aaa"), ("2", "aaa bbb"), ("3", "aaa aaa bbb"), ("4", "aaa bbb ccc eee")])
     found = scores(own, "aaa")
@@ -62,9 +30,10 @@ def test_scores(spark):
 
 
 def test_named_field_and_relevance(spark):
-    docs = [("1", "Twinkle twinkle you better work"), ("2", "Twinkle you better work or else I'll hack you"), ("3", "Twinkle you better work")]
-    found = scores(index(spark, docs, "relevance_test"), "relevance_test:twinkle")
-    assert sorted(found, key=lambda d: -found[d]) == ["1", "3", "2"]
+    """The share of a document that is the term decides."""
+    docs = [("1", "slate roof"), ("2", "slate slate roof"), ("3", "slate roof over an old barn")]
+    found = scores(index(spark, docs, "title"), "title:slate")
+    assert found == pytest.approx({"1": math.sqrt(1 / 2), "2": math.sqrt(2 / 3), "3": math.sqrt(1 / 6)}) and scores(index(spark, docs, "title"), "slate") == {}
 
 
 def test_phrase_with_gap_and_match_all(spark):
@@ -75,9 +44,9 @@ def test_phrase_with_gap_and_match_all(spark):
     assert set(scores(own, Difference(MatchAll(), Term("text", "x")), docs)) == {"2", "3"}
 
 
-def test_ranges_are_refused(greetings):
+def test_ranges_are_refused(spark):
     with pytest.raises(InvalidQuery, match="Range queries"):
-        match(greetings, TermRange("text", "a", "b"))
+        match(index(spark, [("1", "a")]), TermRange("text", "a", "b"))
 
 
 def test_prefix_cap(spark):
@@ -133,6 +102,35 @@ def test_one_pass_equals_node_by_node(spark):
         assert scores(own, node) == pytest.approx(want), node
 
 
+def as_text(node):
+    """A query string that means the tree."""
+    match node:
+        case Phrase():
+            text = '"' + " ".join(node.terms) + '"'
+        case Prefix():
+            text = node.prefix + "*"
+        case Term():
+            text = node.term
+        case And() | Or():
+            text = f"({as_text(node.left)} {'AND' if isinstance(node, And) else 'OR'} {as_text(node.right)})"
+        case Difference():
+            text = f"({as_text(node.left)} -{as_text(node.right)})"
+    return text if node.boost == 1 else f"{text}^{node.boost}"
+
+
+def test_query_strings_equal_node_by_node(spark):
+    rng = random.Random(8)
+    docs = {f"d{i}": [rng.choice("abcd") * rng.choice([1, 2]) for _ in range(rng.randrange(1, 9))] for i in range(40)}
+    own = index(spark, [(d, " ".join(ws)) for d, ws in docs.items()]).persist()
+    some = 0
+    for _ in range(40):
+        node = random_tree(rng, rng.choice([1, 2, 3]))
+        want = {d: s / node.norm for d, s in naive(docs, node).items()}
+        assert scores(own, as_text(node)) == pytest.approx(want), as_text(node)
+        some += bool(want)
+    assert some > 10
+
+
 def test_postings_of_a_query_give_its_matches(spark):
     rows = spark.createDataFrame([("1", "text", "a b ab"), ("2", "text", "b c"), ("3", "text", "d")], "docid string, field string, text string")
     for query in ("a OR b", '"b ab"', "a* -c", "x"):
