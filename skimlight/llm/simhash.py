@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .util import materialise, slices, stored_bytes
 
-#: Members up to which near_duplicates joins a block of a section pair by pair, and members of a tile of a larger one.
-BLOCK, TILE = 32, 256
+#: Members of a tile of a section's block.
+TILE = 256
 #: Shingles of a set that tiles compare: all, or of a larger set at least so many, drawn by hash.
 DRAWN = 1024
 #: Members up to which a block is joined pair by pair.
@@ -155,7 +155,7 @@ def simhash_groups(
 
 
 #: Bits of the long fingerprint, and how many sections of a pair at the threshold shall remain untouched.
-LONG_BITS, UNTOUCHED = 512, 5
+LONG_BITS, UNTOUCHED = 512, 8
 #: Sets below this size are compared themselves; of larger pairs those within so many standard deviations of the threshold.
 EXACT_BELOW, MARGIN = 300, 6
 #: Ends of open pairs up to this size on disk are broadcast to the texts; beyond it both are shuffled.
@@ -202,14 +202,14 @@ def long_fingerprint(h: np.ndarray) -> np.ndarray:
     return np.concatenate([majority(mix64(h, 3000 + i)) for i in range(LONG_BITS // 64)])
 
 
-def blocks_apart(keyed: DataFrame, large: DataFrame, found: DataFrame) -> DataFrame:
-    """Members (key, node, component, minor, minors, majors) of the ``large`` blocks (key, a) that lie in several components.
+def blocks_apart(keyed: DataFrame, blocks: DataFrame, found: DataFrame) -> DataFrame:
+    """Members (key, node, component, minor, minors, majors) of the ``blocks`` (key, a) that lie in several components.
 
     Those in the component of the block's centre ``a`` are the block's majors, with no links among them to look for.
     """
     of_centre = found.toDF("a", "major")
-    large = large.join(of_centre, "a", "left").select("key", F.coalesce("major", "a").alias("major"))
-    members = keyed.join(large, "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "major")
+    named = blocks.join(of_centre, "a", "left").select("key", F.coalesce("major", "a").alias("major"))
+    members = keyed.join(named, "key").join(found, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component"), "major")
     members = materialise(members.withColumn("minor", F.expr("component <> major")).drop("major"), "members")
     sizes = members.groupBy("key").agg(F.count_if("minor").alias("minors"), F.count_if(~F.col("minor")).alias("majors")).where("minors > 0")
     return materialise(members.join(sizes, "key"), "apart")
@@ -305,9 +305,8 @@ def near_duplicates(
     shingles or more whose long fingerprints' Hamming distance is MARGIN standard
     deviations above or below that of a pair of their sizes at the threshold. A pair at the threshold is met
     with a probability of about 1 - exp(-UNTOUCHED), one more alike with a higher one. All documents
-    that share a section are compared: pair by pair up to BLOCK; in larger blocks with one
-    of them, another one for each section, and then in tiles each two that this has left
-    in different components.
+    that share a section are compared: first with one of them, another one for each section,
+    and then in tiles each two that this has left in different components.
 
     component_id is the smallest identifier reachable. Texts without words, null among
     them, are one group; fewer words than ``words`` are one shingle. Repeated rows are
@@ -341,11 +340,7 @@ def near_duplicates(
     centre = keyed.groupBy("key").agg(F.min(F.expr("node ^ key")).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     centre = materialise(centre.select("key", F.expr("v ^ key").alias("a"), "n"), "centres")
     stars = keyed.join(centre, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    # a small block's other pairs, too: those of two members that are not its centre
-    small = materialise(keyed.join(centre.where(F.col("n").between(3, BLOCK)), "key").where("node <> a").select("key", "node"), "small")
-    others = small.alias("x").join(small.alias("y"), F.expr("x.key = y.key and x.node < y.node")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-    pairs = stars.unionByName(others)
-    pairs = materialise(pairs.distinct(), "pairs")
+    pairs = materialise(stars.distinct(), "pairs")
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fps = nodes.select("node", "fp", "size")
     # the share of bits that differ is the angle between two sets, which their sizes give for a pair at the threshold
@@ -388,7 +383,8 @@ def near_duplicates(
 
     links = materialise(sure.select("a", "b").unionByName(verified(open_)), "links")
     found = connected_components(links)
-    apart = blocks_apart(keyed, centre.where(F.col("n") > BLOCK), found)
+    # the pairs of a block that its centre has not brought together
+    apart = blocks_apart(keyed, centre.where("n > 2"), found)
     if not apart.isEmpty():
         sets = materialise(drawn_sets(texts_of(apart.select("node").distinct()), words, seed), "sets")
         tiled = materialise(tile_pairs(apart, sets, similarity), "tiled")

@@ -11,9 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..sources.documents import spread
-
-#: Used only where the session names no shared folder and runs on one machine (tests).
-LOCAL_FOLDER = "/tmp/checkpoints"
+from ..sources.folders import LOCAL_FOLDER, shared_folder
 
 #: ASCII white space, as the contracts define it.
 SPACE = r"[\x20\x09-\x0D]+"
@@ -21,14 +19,6 @@ SPACE = r"[\x20\x09-\x0D]+"
 _written: list[str] = []
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir; in local mode, if that is unset, LOCAL_FOLDER."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if not named and not spark.sparkContext.master.startswith("local"):
-        raise ValueError("spark.checkpoint.dir has to name a folder that driver and executors share")
-    return (named or LOCAL_FOLDER).rstrip("/")
-
-
 def materialise(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` as Parquet in the shared folder and read it back.
 
