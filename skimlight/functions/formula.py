@@ -11,7 +11,6 @@ or the logarithm of a negative number.
 from __future__ import annotations
 
 import ast
-import math
 import re
 from collections.abc import Callable, Mapping, Sequence
 
@@ -128,60 +127,11 @@ class _Columns:
     choose = staticmethod(lambda c, a, b: F.when(c, a).otherwise(b))
 
 
-class _Floats:
-    """The same operations on Python floats."""
+class _Checked:
+    """Operations without values, for a walk that only checks."""
 
-    number = staticmethod(float)
-    add, sub, mul = (staticmethod(f) for f in (lambda a, b: a + b, lambda a, b: a - b, lambda a, b: a * b))
-    neg = staticmethod(lambda a: -a)
-
-    @staticmethod
-    def div(a: float, b: float) -> float:
-        if b == 0:
-            return math.nan if a == 0 or math.isnan(a) else math.inf if a > 0 else -math.inf
-        return a / b
-
-    log = staticmethod(lambda x: math.log(x) if x > 0 else x if math.isnan(x) else -math.inf if x == 0 else math.nan)
-    sqrt = staticmethod(lambda x: math.sqrt(x) if x >= 0 else math.nan)
-    abs = staticmethod(abs)
-
-    @staticmethod
-    def _int(x: float) -> int:
-        return 0 if math.isnan(x) else int(min(max(x, _INT[0]), _INT[1]))
-
-    @classmethod
-    def pow(cls, x: float, e: float) -> float:
-        n = cls._int(e)
-        if n == 0:
-            return 1.0
-        try:
-            return math.inf if x == 0 and n < 0 else float(x) ** n
-        except OverflowError:
-            return -math.inf if x < 0 and n % 2 else math.inf
-
-    min = staticmethod(lambda a, b: a if a < b else b)
-    max = staticmethod(lambda a, b: a if a > b else b)
-
-    @classmethod
-    def bit(cls, v: float, i: float) -> float:
-        shift = cls._int(i) % 32
-        return 1.0 if shift != 31 and cls._int(v) & (1 << shift) else 0.0
-
-    @classmethod
-    def distance(cls, unit: float, lat1: float, lon1: float, lat2: float, lon2: float) -> float:
-        if any(abs(x) > most for x, most in ((lat1, 90), (lat2, 90), (lon1, 180), (lon2, 180))):
-            return math.inf
-        middle = int(cls._int(lat1 + lat2) / 2)
-        return unit * math.sqrt((lat1 - lat2) ** 2 + (lon1 - lon2) ** 2 * math.cos(math.radians(middle)) ** 2)
-
-    @staticmethod
-    def compare(op: str, a: float, b: float) -> bool:
-        odd = math.isnan(a) or math.isnan(b)
-        if op == "==":
-            return not odd and a == b
-        return odd or {"!=": a != b, "<": a < b, "<=": a <= b, ">": a > b, ">=": a >= b}[op]
-
-    choose = staticmethod(lambda c, a, b: a if c else b)
+    def __getattr__(self, name: str):
+        return lambda *args: None
 
 
 _BINARY = {ast.Add: "add", ast.Sub: "sub", ast.Mult: "mul", ast.Div: "div"}
@@ -189,20 +139,19 @@ _COMPARE = {ast.Eq: "==", ast.NotEq: "!=", ast.Lt: "<", ast.LtE: "<=", ast.Gt: "
 
 
 class Formula:
-    """A parsed formula: ``column`` for Spark, ``evaluate`` for one document in Python."""
+    """A parsed formula; ``column`` gives its value."""
 
     def __init__(self, text: str):
         self.text = text
         self._root = _tree(text)
         self.query_variables: set[int] = set()
         self.document_variables: set[int] = set()
-        self._build(self._root, _Floats, lambda kind, i: self._note(kind, i))
+        self._build(self._root, _Checked(), self._note)
 
-    def _note(self, kind: str, i: int) -> float:
+    def _note(self, kind: str, i: int) -> None:
         {"doc": self.document_variables, "query": self.query_variables}.get(kind, set()).add(i)
-        return 1.0
 
-    def _build(self, node: ast.expr, on: type, read: Callable[[str, int], object]):
+    def _build(self, node: ast.expr, on: object, read: Callable[[str, int], object]):
         def go(n):
             return self._build(n, on, read)
 
@@ -238,7 +187,3 @@ class Formula:
             return {"relevance": relevance, "age": age}[kind].cast("double") if kind != "doc" else doc_var(i).cast("float").cast("double")
 
         return self._build(self._root, _Columns, read)
-
-    def evaluate(self, relevance: float, age: float, doc_vars: Mapping[int, float], query_vars: Mapping[int, float] = {}) -> float:
-        known = {"relevance": lambda i: relevance, "age": lambda i: float(age), "doc": lambda i: doc_vars.get(i, 0.0), "query": lambda i: query_vars[i]}
-        return self._build(self._root, _Floats, lambda kind, i: known[kind](i))
