@@ -1,3 +1,4 @@
+import math
 import random
 import zlib
 
@@ -77,3 +78,37 @@ def test_features_approximate_the_kernel():
 def test_statistics_use_the_whole_text():
     assert quality.statistics("a " * 50_000 + "!") != quality.statistics("a " * 50_000)
     assert quality.statistics(None) == quality.statistics("") == [0.0] * quality.N_STATISTICS
+
+
+def minimax(y):
+    """Isotonic regression as it is defined: the greatest of the least means of runs."""
+    n = len(y)
+    return np.array([max(min(y[a : b + 1].mean() for b in range(i, n)) for a in range(i + 1)) for i in range(n)])
+
+
+def test_against_dense_ridge_and_isotonic(spark):
+    """The summed equations, the cross-fitted calibration and the scores, from dense matrices."""
+    docs, labels = corpus(120, seed=5)
+    mark = {i: float(q) for i, q, _ in labels}
+    rows = [([float(v) for v in quality.statistics(t)], mark[i], i % quality.PARTS) for i, t, *_ in docs]
+    model = quality.fit(spark.createDataFrame(rows, "x array<double>, y double, part int"), features=40)
+    x, y, half = np.array([r[0] for r in rows]), np.array([r[1] for r in rows]), np.array([r[2] % 2 for r in rows])
+    mean, spread = x.mean(axis=0), x.std(axis=0)
+    spread[spread < 1e-9] = 1
+    assert np.allclose(model.mean, mean) and np.allclose(model.spread, spread, atol=1e-6)
+    z = np.array([[math.sqrt(2 / 40) * math.cos(v @ w + p) for w, p in zip(model.frequencies.T, model.phase, strict=True)] + [1.0] for v in np.clip((x - mean) / spread, -6, 6)])
+
+    def ridge(z, y):
+        lam = 1e-3 * max(1.0, len(z)) / z.shape[1]
+        # least squares with the penalty as further rows
+        return np.linalg.lstsq(np.vstack([z, math.sqrt(lam) * np.eye(z.shape[1])]), np.append(y, np.zeros(z.shape[1])), rcond=None)[0]
+
+    assert np.allclose(z @ model.weights, z @ ridge(z, y), atol=1e-3)
+    crossed = [ridge(z[half == 1], y[half == 1]), ridge(z[half == 0], y[half == 0])]
+    s = np.where(half == 0, z @ crossed[0], z @ crossed[1])
+    order = np.argsort(s, kind="stable")
+    want = minimax(y[order])
+    steps, values = quality.isotonic(s, y)
+    assert np.allclose(np.unique(np.round(want, 9)), np.unique(np.round(values, 9)))
+    assert np.allclose(model.values, values, atol=0.05) and len(model.steps) == len(steps)
+    assert np.allclose(model.score(x), np.clip(np.interp(z @ ridge(z, y), steps, values), 0, 1), atol=0.1)
