@@ -147,20 +147,20 @@ def identify_languages(
     ``row`` holds the whole input row; else other columns are not read. Texts go to
     Python, rows do not. The model takes 32 KB a language.
     """
-    spark = docs.sparkSession
-    model = spark.sparkContext.broadcast(fit(docs, id_col, text_col, lang_col, folds, held, per_language))
+    model = fit(docs, id_col, text_col, lang_col, folds, held, per_language)
 
     @F.arrow_udf("lang_pred string, score double, mixture map<string, double>")
     def identify(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        own = model.value
         for batch in texts:
             found = []
             for part in slices(pa.RecordBatch.from_arrays([batch], names=["text"]), text=0):
-                found += [own.identify(t) for t in part.column(0).to_pylist()]
+                found += [model.identify(t) for t in part.column(0).to_pylist()]
             columns = [pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())]
             mixtures = pa.array([list(f[2].items()) for f in found], pa.map_(pa.string(), pa.float64()))
             yield pa.StructArray.from_arrays([*columns, mixtures], names=["lang_pred", "score", "mixture"])
 
+    # so that a filter on its result does not run it a second time
+    identify = identify.asNondeterministic()
     whole = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
     rows = docs.select(F.col(id_col).alias("id"), identify(F.col(text_col).cast("string")).alias("found"), *whole)
     return rows.select(

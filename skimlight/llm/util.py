@@ -102,8 +102,10 @@ def prefix_sums(rows: DataFrame, group: list[str], place: str, value: str, ties:
 def slices(batch, rows: int = 250, text: int = 1, size: int = 8 << 20):
     """Parts of an Arrow batch of at most ``rows`` rows, and of ``size`` bytes of column ``text`` unless one row is longer.
 
-    So few texts are Python objects at a time, however long they are.
+    So few texts are Python objects at a time, however long they are. What Arrow has
+    freed goes back to the system, as a worker outlives its task.
     """
+    import pyarrow as pa
     import pyarrow.compute as pc
 
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False).tolist()
@@ -115,6 +117,7 @@ def slices(batch, rows: int = 250, text: int = 1, size: int = 8 << 20):
         held += n
     if lo < len(lengths):
         yield batch.slice(lo)
+    pa.default_memory_pool().release_unused()
 
 
 def worker_state() -> dict:

@@ -117,3 +117,9 @@ def test_against_dense_em(spark):
         want = brute_identify(model, own)
         assert set(mixture) == set(want) and all(abs(mixture[k] - want[k]) < 0.01 for k in want)
         assert name == max(want, key=want.get) and abs(score - max(want.values())) < 0.01
+
+
+def test_texts_are_judged_once(spark):
+    """A filter on the language found does not run the function again."""
+    found = language_id.identify_languages(table(spark, corpus(40)), carry=True).where("lang_pred <> 'und'").select("row.lang", "lang_pred", "score")
+    assert found._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") == 1
