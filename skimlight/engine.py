@@ -261,6 +261,15 @@ class SearchEngine:
         """All that match and pass the filters, with R, ts, vars, cats and score."""
         return self._scored(self.parse(request.query), request)
 
+    def page(self, request: SearchRequest) -> DataFrame:
+        """The rows of a search alone, without facets and total."""
+        node = self.parse(request.query)
+        return self._fetch(R.top(self._listed(self._scored(node, request), request), request.start, request.limit), node, request)
+
+    def _listed(self, scored: DataFrame, request: SearchRequest) -> DataFrame:
+        """docid and score of all results, a promoted one among them."""
+        return R.promote(scored.select("docid", "score"), self.store.manifest.promotions.get(request.query.lower()), self.spark)
+
     def search(self, request: SearchRequest) -> SearchResult:
         if not self._waiting.acquire(blocking=False):
             raise Busy("too many searches wait")
@@ -273,8 +282,7 @@ class SearchEngine:
     def _search(self, request: SearchRequest) -> SearchResult:
         node = self.parse(request.query)
         scored = self._scored(node, request).persist()
-        promoted = self.store.manifest.promotions.get(request.query.lower())
-        listed = R.promote(scored.select("docid", "score"), promoted, self.spark)
+        listed = self._listed(scored, request)
         matches = listed.count()
         page = R.top(listed, request.start, request.limit)
         result = SearchResult(self._fetch(page, node, request), R.facet_counts(scored), matches, scored=scored)
@@ -302,13 +310,22 @@ class SearchEngine:
         return score_matches(R.with_dynamic(self._match(node), self.dynamic()), request, self.functions)
 
     def _fetch(self, page: DataFrame, node: Node, request: SearchRequest) -> DataFrame:
-        """Stored fields, variables, categories and snippets of one page only; a long page is not broadcast."""
+        """Stored fields, variables, categories and snippets of one page only.
+
+        The ids of a short page go into the scans of the stored tables; a long page is joined, and not broadcast.
+        """
+        few = lambda df: df
+        documents, dynamic = self.documents(), self.dynamic()
+        if request.limit <= MOST_BROADCAST_ROWS:
+            listed = page.collect()
+            page = self.spark.createDataFrame(listed, page.schema)
+            asked = F.col("docid").isin([r.docid for r in listed])
+            few, documents, dynamic = F.broadcast, documents.where(asked), dynamic.where(asked)
         rows = page
-        few = F.broadcast if request.limit <= MOST_BROADCAST_ROWS else lambda df: df
         wanted = node.positive_terms()
         if request.fetch_fields or request.snippet_fields:
             small = few(page.select("docid"))
-            stored = self.documents().join(small, "docid", "left_semi")
+            stored = documents.join(small, "docid", "left_semi")
             every = "*" in request.fetch_fields
             names = list(request.fetch_fields)
             kept = F.col("fields") if every else F.map_filter("fields", lambda k, v: k.isin(names)) if names else F.map_filter("fields", lambda k, v: F.lit(False))
@@ -318,7 +335,7 @@ class SearchEngine:
             ]
             rows = rows.join(stored.select("docid", kept.alias("fields"), *snippets), "docid", "left")
         if request.fetch_variables or request.fetch_categories:
-            own = self.dynamic().join(few(page.select("docid")), "docid", "left_semi")
+            own = dynamic.join(few(page.select("docid")), "docid", "left_semi")
             zeros = F.array(*[F.lit(0.0).cast("float")] * self.n_vars)
             columns = [F.col("vars")] * request.fetch_variables + [F.col("cats")] * request.fetch_categories
             rows = rows.join(own.select("docid", *columns), "docid", "left")

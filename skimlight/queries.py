@@ -113,9 +113,7 @@ def searched(spark: SparkSession, sf: str, text: str, function: int = 1, kind: s
 
 def page(spark: SparkSession, sf: str, text: str, function: int = 1, kind: str = "documents", **request) -> DataFrame:
     """A page of a search."""
-    result = engine(spark, sf, kind).search(SearchRequest(text, NOW, function=function, **request))
-    result.close()
-    return result.rows
+    return engine(spark, sf, kind).page(SearchRequest(text, NOW, function=function, **request))
 
 
 #: Postings of documents.text in SQL; a leaf is the score of one term.
