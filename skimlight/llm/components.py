@@ -15,7 +15,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     neighbours, then jumps to the grandparent: about log2(longest path) rounds, each a
     fixed number of shuffles on node ids. All reductions are minima that tasks combine
     before they send, and the lookups on a parent, where one large component makes a
-    hot key, are plain joins whose skewed partitions AQE splits.
+    hot key, are plain joins whose skewed partitions AQE splits. Repeated links and links
+    of a node with itself change nothing, and a node with no other link has no row; ends are not null; no links give no rows.
     """
     edges = materialise(
         links.where("a <> b").select(F.explode(F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))).alias("e")).select("e.a", "e.b").distinct(),

@@ -117,8 +117,12 @@ def near_links(fps: DataFrame, blocks: int = 4, distance: int = 2) -> DataFrame:
     flips = F.array(*[F.lit(_signed(x)) for x in [0, *(1 << i for i in range(64))]])
     many = keyed.where(F.col("n") > PAIRWISE).select("fp").distinct()
     variants = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.expr("fp ^ flip").alias("v"))
-    low = variants.groupBy("v").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    stars = variants.join(low, "v").where(F.expr(f"fp > low and bit_count(fp ^ low) <= {distance}")).select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    if distance == 2:  # two members within two bits share a variant, and all that share one are within two bits
+        low = variants.groupBy("v").agg(F.min("fp").alias("low"), F.count(F.lit(1)).alias("n")).where("n > 1")
+        stars = variants.join(low, "v").where("fp > low").select(F.col("low").alias("a"), F.col("fp").alias("b"))
+    else:  # a member one bit away is itself a variant; distinct fingerprints are never equal
+        stars = variants.join(many.select(F.col("fp").alias("v")), "v").where(F.lit(distance == 1) & (F.col("fp") < F.col("v")))
+        stars = stars.select(F.col("fp").alias("a"), F.col("v").alias("b"))
     return pairs.unionByName(stars).distinct()
 
 

@@ -78,7 +78,8 @@ def prefix_sums(rows: DataFrame, group: list[str], place: str, value: str, ties:
 
     ``place`` is an MD5 in hex. Sums are taken over 256 buckets of a group by its first
     two digits, over 256 smaller ones in each, and then over the rows of a small one, so
-    that a group with a third of all rows is never sorted in one task.
+    that a group with a third of all rows is never sorted in one task. Rows of one place
+    follow ``ties``; rows equal in those, too, in any order. Null values count as nothing; an empty table stays empty.
     """
     rows = rows.withColumns({"_b2": F.substring(place, 1, 2), "_b4": F.substring(place, 1, 4)})
     b4 = rows.groupBy(*group, "_b2", "_b4").agg(F.sum(value).alias("_n"))

@@ -57,6 +57,8 @@ def test_links_are_complete_and_true(spark, monkeypatch, pairwise, blocks, dista
     fps = [rng.getrandbits(64) for _ in range(40)]
     for f in fps[:10]:
         fps += [f ^ (1 << rng.randrange(64)) ^ (rng.randrange(2) << rng.randrange(64)) for _ in range(5)]
+    for f in fps[10:14]:  # chains, each link one bit
+        fps += [f ^ 2, f ^ 6, f ^ 14]
     fps = sorted({simhash._signed(f) for f in fps})
     links = [(a, b) for a in fps for b in fps if a < b and ((a ^ b) & (2**64 - 1)).bit_count() <= distance]
     got = [tuple(r) for r in simhash.near_links(spark.createDataFrame([(f,) for f in fps], "fp long"), blocks, distance).collect()]
