@@ -29,8 +29,8 @@ from pyspark.sql import functions as F
 from .components import connected_components
 from .util import materialise, slices, stored_bytes
 
-#: Members of a tile of a section's block.
-TILE = 256
+#: Members up to which a section's block is joined pair by pair, and members of a tile of a larger one.
+BLOCK, TILE = 32, 256
 #: Shingles of a set that tiles compare: all, or of a larger set at least so many, drawn by hash.
 DRAWN = 1024
 #: Members up to which a block is joined pair by pair.
@@ -310,7 +310,8 @@ def near_duplicates(
     deviations above or below that of a pair of their sizes at the threshold. A pair at the threshold is met
     with a probability of about 1 - exp(-UNTOUCHED), one more alike with a higher one. All documents
     that share a section are compared: first with one of them, another one for each section,
-    and then in tiles each two that this has left in different components.
+    and then each two that this has left in different components: pair by pair in a block of up to
+    BLOCK members, in tiles in a larger one.
 
     component_id is the smallest identifier reachable. Texts without words, null among
     them, are one group; fewer words than ``words`` are one shingle. Repeated rows are
@@ -344,7 +345,6 @@ def near_duplicates(
     centre = keyed.groupBy("key").agg(F.min(F.expr("node ^ key")).alias("v"), F.count(F.lit(1)).alias("n")).where("n > 1")
     centre = materialise(centre.select("key", F.expr("v ^ key").alias("a"), "n"), "centres")
     stars = keyed.join(centre, "key").where("node <> a").select(F.least("a", "node").alias("a"), F.greatest("a", "node").alias("b"))
-    pairs = materialise(stars.distinct(), "pairs")
     distance = F.aggregate(F.zip_with("fp_a", "fp_b", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     fps = nodes.select("node", "fp", "size")
     # the share of bits that differ is the angle between two sets, which their sizes give for a pair at the threshold
@@ -352,13 +352,17 @@ def near_duplicates(
     angle = F.acos(F.least(cosine, F.lit(1.0))) / np.pi
     slack = MARGIN * F.sqrt(F.col("angle") * (1 - F.col("angle")) / LONG_BITS)
     least, most = F.least("size_a", "size_b"), F.greatest("size_a", "size_b")
-    compared = (
-        pairs.join(fps.toDF("a", "fp_a", "size_a"), "a").join(fps.toDF("b", "fp_b", "size_b"), "b").where(least / most >= similarity)
-        .withColumns({"small": least < EXACT_BELOW, "angle": angle, "d": distance / LONG_BITS}).withColumn("slack", slack)
-        .where("small or d <= angle + slack").select("a", "b", F.expr("not small and d < angle - slack").alias("sure"))
-    )
-    compared = materialise(compared, "compared")
-    sure, open_ = compared.where("sure"), compared.where("not sure")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        """Those of the pairs a, b that are as alike as asked."""
+        pairs = materialise(pairs.distinct(), "pairs")
+        compared = (
+            pairs.join(fps.toDF("a", "fp_a", "size_a"), "a").join(fps.toDF("b", "fp_b", "size_b"), "b").where(least / most >= similarity)
+            .withColumns({"small": least < EXACT_BELOW, "angle": angle, "d": distance / LONG_BITS}).withColumn("slack", slack)
+            .where("small or d <= angle + slack").select("a", "b", F.expr("not small and d < angle - slack").alias("sure"))
+        )
+        compared = materialise(compared, "compared")
+        return materialise(compared.where("sure").select("a", "b").unionByName(verified(compared.where("not sure"))), "links")
 
     def texts_of(wanted: DataFrame) -> DataFrame:
         """node, text of the nodes ``wanted``, one text each."""
@@ -385,17 +389,22 @@ def near_duplicates(
         both = both.select("a", "b", F.expr("size(s_a) + size(s_b)").alias("n"), F.expr("size(array_intersect(s_a, s_b))").alias("common"))
         return both.where(F.expr("common / (n - common)") >= similarity).select("a", "b")
 
-    links = materialise(sure.select("a", "b").unionByName(verified(open_)), "links")
+    links = alike(stars)
     found = connected_components(links)
     # the pairs of a block that its centre has not brought together
     apart = blocks_apart(keyed, centre.where("n > 2"), found)
-    if not apart.isEmpty():
-        sets = materialise(drawn_sets(texts_of(apart.select("node").distinct()), words, seed), "sets")
-        tiled = materialise(tile_pairs(apart, sets, similarity), "tiled")
-        more = tiled.where("sure").select("a", "b").distinct()
+    few, many = apart.where(F.col("minors") + F.col("majors") <= BLOCK), apart.where(F.col("minors") + F.col("majors") > BLOCK)
+    if not few.isEmpty():
+        met = few.alias("x").join(few.alias("y"), F.expr("x.key = y.key and x.node < y.node and x.component <> y.component"))
+        links = links.unionByName(alike(met.select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))))
+    if not many.isEmpty():
+        sets = materialise(drawn_sets(texts_of(many.select("node").distinct()), words, seed), "sets")
+        tiled = materialise(tile_pairs(many, sets, similarity), "tiled")
+        links = links.unionByName(tiled.where("sure").select("a", "b").distinct())
         if not (unsure := tiled.where("not sure").select("a", "b").distinct()).isEmpty():
-            more = more.unionByName(verified(unsure))
-        found = connected_components(links.unionByName(more))
+            links = links.unionByName(verified(unsure))
+    if not apart.isEmpty():
+        found = connected_components(links)
     parts = materialise(
         nodes.select("node", "low", "n").join(found, "node", "left").withColumn("component", F.coalesce("component", "node")), "parts"
     )
